@@ -1,8 +1,8 @@
 """Quality classifier: a regularised quadratic discriminant over transformed document statistics.
 
 Each text gives a few statistics (shares of symbols, capitals, repeated words and lines, word lengths), log- or
-square-root-transformed. Each class is a normal distribution whose covariance is shrunk towards a multiple of
-the identity; its Cholesky factor is computed once and kept in the model. A score is the logistic of the
+square-root-transformed. Each class is a normal distribution whose covariance is shrunk towards the pooled one,
+the more the fewer rows the class has, and then a little towards the identity; its Cholesky factor is computed once and kept in the model. A score is the logistic of the
 difference of log densities, from Mahalanobis distances by triangular solves, plus the log prior odds.
 
 Fitting needs only each class's count, sum and sum of products, which tasks gather from all labelled rows: no
@@ -85,15 +85,18 @@ class Discriminant:
         spread = np.sqrt(np.maximum(np.diag(products[0] + products[1]) / total - centre**2, 1e-12))
         scale = np.where(spread < 1e-5, 1.0, spread)
         means, factors, offset = [], [], np.log(counts[1] / counts[0])
-        for c, sign in ((0, -1), (1, 1)):
+        size, own, pooled = len(centre), [], 0.0
+        for c in (0, 1):
             mean = sums[c] / counts[c]
-            own = (products[c] / counts[c] - np.outer(mean, mean)) / np.outer(scale, scale)
-            size = len(mean)
-            shrunk = (1 - shrinkage) * own + shrinkage * (np.trace(own) / size + 1e-3) * np.eye(size)
-            factor = np.linalg.cholesky(shrunk)
+            own.append((products[c] / counts[c] - np.outer(mean, mean)) / np.outer(scale, scale))
             means.append((mean - centre) / scale)
-            factors.append(factor)
-            offset -= sign * np.log(np.diag(factor)).sum()
+            pooled = pooled + own[c] * (counts[c] / total)
+        for c, sign in ((0, -1), (1, 1)):
+            few = size / (size + counts[c])
+            covariance = (1 - few) * own[c] + few * pooled
+            shrunk = (1 - shrinkage) * covariance + shrinkage * (np.trace(covariance) / size + 1e-3) * np.eye(size)
+            factors.append(np.linalg.cholesky(shrunk))
+            offset -= sign * np.log(np.diag(factors[c])).sum()
         return cls(centre, scale, tuple(means), tuple(factors), float(offset))
 
     def score(self, x: np.ndarray) -> np.ndarray:

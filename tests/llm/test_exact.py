@@ -332,12 +332,15 @@ def test_discriminant_density():
     model = quality.Discriminant.from_moments([500, 300], [a.sum(0), b.sum(0)], [a.T @ a, b.T @ b], shrinkage=0.1)
     x = rng.normal(size=(5, 3))
     logits = []
-    for data in (a, b):
-        z = (data - model.centre) / model.scale
-        cov = 0.9 * np.cov(z.T, bias=True)
-        cov += 0.1 * (np.trace(np.cov(z.T, bias=True)) / 3 + 1e-3) * np.eye(3)
-        d = (x - model.centre) / model.scale - z.mean(0)
-        logits.append(np.log(len(data)) - 0.5 * np.linalg.slogdet(cov)[1] - 0.5 * np.einsum("ij,jk,ik->i", d, np.linalg.inv(cov), d))
+    z = [(data - model.centre) / model.scale for data in (a, b)]
+    own = [np.cov(d.T, bias=True) for d in z]
+    pooled = (500 * own[0] + 300 * own[1]) / 800
+    for c in (0, 1):
+        few = 3 / (3 + len(z[c]))
+        cov = (1 - few) * own[c] + few * pooled
+        cov = 0.9 * cov + 0.1 * (np.trace(cov) / 3 + 1e-3) * np.eye(3)
+        d = (x - model.centre) / model.scale - z[c].mean(0)
+        logits.append(np.log(len(z[c])) - 0.5 * np.linalg.slogdet(cov)[1] - 0.5 * np.einsum("ij,jk,ik->i", d, np.linalg.inv(cov), d))
     assert np.allclose(model.score(x), 1 / (1 + np.exp(logits[0] - logits[1])))
 
 
