@@ -738,7 +738,7 @@ def datapackage_read(spark: SparkSession, sf_dir: str) -> DataFrame:
     return dag.collect("out")
 
 
-@query("SELECT r_regionkey AS key, r_name AS name, r_regionkey * 1.5 AS half FROM region")
+@query("SELECT r_regionkey AS key, r_name AS name, r_regionkey * 1.5::DOUBLE AS half FROM region")
 def pydata_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = read(spark, sf_dir, "region").to_tuples()
     return relation({"key": [k for k, _ in rows], "name": [n for _, n in rows], "half": [k * 1.5 for k, _ in rows]}, spark).select("key", "name", "half").compile()

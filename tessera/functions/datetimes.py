@@ -28,7 +28,8 @@ def java_pattern(format: str) -> str:
     out = ""
     for code, plain in re.findall(r"%(.?)|([^%]+)", format, re.DOTALL):
         if plain:
-            out += re.sub("[A-Za-z]+", lambda m: f"'{m[0]}'", plain.replace("'", "''"))
+            quoted = plain.replace("'", "''")
+            out += f"'{quoted}'" if re.search("[A-Za-z']", plain) else plain
         elif code in CODES:
             out += CODES[code]
         else:

@@ -85,7 +85,7 @@ class FieldSpec:
             if getattr(self, key):
                 out[key] = getattr(self, key)
         if self.constraints:
-            out["constraints"] = {k: v for k, v in dataclasses.asdict(self.constraints).items() if v not in (None, False)}
+            out["constraints"] = {k: v for k, v in dataclasses.asdict(self.constraints).items() if v is not None and v is not False}
         if self.missing_values:
             out["missingValues"] = self.missing_values
         return out | {k: getattr(self, k) for k in ("backend_type", "rename_from", "null_fill") if getattr(self, k) is not None}
@@ -159,7 +159,7 @@ def typespec_to_frictionless(spec: TypeSpec) -> dict[str, Any]:
         if f.format != "default":
             one["format"] = f.format
         one |= {key: getattr(f, a) for a, key in _FIELD_KEYS.items() if getattr(f, a) is not None}
-        if f.constraints and (rules := {key: getattr(f.constraints, a) for a, key in _CONSTRAINTS.items() if getattr(f.constraints, a) not in (None, False)}):
+        if f.constraints and (rules := {key: getattr(f.constraints, a) for a, key in _CONSTRAINTS.items() if getattr(f.constraints, a) is not None and getattr(f.constraints, a) is not False}):
             one["constraints"] = rules
         extras = {a: getattr(f, a) for a in _FIELD_EXTRAS if getattr(f, a) is not None}
         if f.constraints and f.constraints.enum_weights is not None:
