@@ -22,6 +22,7 @@ import sys
 import uuid
 import zlib
 from collections.abc import Iterator
+from operator import itemgetter
 from types import ModuleType
 
 import numpy as np
@@ -58,7 +59,8 @@ class Encoder:
 
         self.tokenizer, self.dtype = Tokenizer.from_file(tokenizer_path), np.dtype(dtype)
         self.line_end = self.tokenizer.encode("a\nb", add_special_tokens=False).ids[1]
-        self.known: dict[str, bytes] = {}
+        self.marks = {m: self._whole([m])[0] for m in ",."}
+        self.known: dict[str, bytes] = {"": b"", "\n": np.array([self.line_end], self.dtype).tobytes()}
 
     @classmethod
     def of_worker(cls, tokenizer_path: str, dtype: str) -> Encoder:
@@ -69,34 +71,43 @@ class Encoder:
         return held[tokenizer_path, dtype]
 
     def __call__(self, texts: list[str]) -> list[bytes]:
-        sure = [plain(t) for t in texts]
-        pieces = [("\n" + t).replace("\n", " \n").split(" ")[1:] if s else None for t, s in zip(texts, sure, strict=True)]
-        known = self.known
-        new = list({p for some in pieces if some is not None for p in some if p not in known})
-        self._learn(new)
-        get, skip = known.__getitem__, self.dtype.itemsize
-        whole = iter(self._whole([t for t, s in zip(texts, sure, strict=True) if not s]))
-        done = [b"".join(map(get, p))[skip:] if p is not None else next(whole) for p in pieces]
+        # The last piece, an empty line, keeps itemgetter's results tuples; its one id is cut off again.
+        pieces = [f"\n{t}\n".replace("\n", " \n").split(" ") if plain(t) else None for t in texts]
+        whole = iter(self._whole([t for t, p in zip(texts, pieces, strict=True) if p is None]))
+        known, size = self.known, self.dtype.itemsize
+        new: set[str] = set()
+        for some in pieces:
+            if some is not None:
+                new.update(set(some).difference(known))
+        self._learn(list(new))
+        done = [next(whole) if p is None else b"".join(itemgetter(*p)(known))[size:-size] for p in pieces]
         if len(known) > PIECES:
             for p in new:
-                del known[p]
+                known.pop(p, None)
         return done
 
     def _learn(self, new: list[str], at_once: int = 200) -> None:
-        """Encode pieces, many as one text with each on a line of its own."""
+        """Encode pieces, many as one text with each on a line of its own; of those that are letters and one mark
+        only the letters, which no byte-level pre-tokenizer joins with the mark."""
+        known, marks = self.known, self.marks
+        marked = [p for p in new if p[-1] in marks and p[:-1].isalpha()]
+        if marked:
+            new = [p for p in new if not (p[-1] in marks and p[:-1].isalpha())]
+            new += {p[:-1] for p in marked}.difference(known, new)
         parts = [new[at : at + at_once] for at in range(0, len(new), at_once)]
         lines = ["".join([p if p[0] == "\n" else "\n " + p for p in part]) for part in parts]
         coded = self.tokenizer.encode_batch_fast(lines, add_special_tokens=False)
-        size, known = self.dtype.itemsize, self.known
+        size = self.dtype.itemsize
         for part, code in zip(parts, coded, strict=True):
             ids = np.array(code.ids, dtype=self.dtype)
             starts = np.flatnonzero(ids == self.line_end)
             if len(starts) != len(part):
                 raise ValueError("this tokenizer doesn't keep line ends apart")
             raw = ids.tobytes()
-            cuts = [*(starts * size).tolist(), len(raw)]
-            for p, a, b in zip(part, cuts, cuts[1:], strict=False):
-                known[p] = raw[a if p[0] == "\n" else a + size : b]
+            cuts = (starts * size).tolist()
+            ends = [*cuts[1:], len(raw)]
+            known.update({p: raw[a if p[0] == "\n" else a + size : b] for p, a, b in zip(part, cuts, ends, strict=True)})
+        known.update({p: known[p[:-1]] + marks[p[-1]] for p in marked})
 
     def _whole(self, texts: list[str]) -> list[bytes]:
         done = self.tokenizer.encode_batch(texts, add_special_tokens=False) if texts else []
