@@ -38,13 +38,13 @@ MASK48 = (1 << 48) - 1
 
 
 class _Words:
-    """A text's words and the byte range of each in the words joined by one space."""
+    """A text's words joined by one space, and the byte range of each."""
 
     def __init__(self, text: bytes):
-        self.words = text.split()
-        self.joined = b" ".join(self.words)
-        ends = np.cumsum(np.fromiter(map(len, self.words), "int64", len(self.words)) + 1) - 1
-        self.ends, self.starts = ends, np.r_[0, ends[:-1] + 1] if len(ends) else ends
+        words = text.split()
+        self.joined, self.n = b" ".join(words), len(words)
+        ends = np.cumsum(np.fromiter(map(len, words), "int64", self.n) + 1) - 1
+        self.ends, self.starts = ends, np.r_[0, ends[:-1] + 1] if self.n else ends
 
     def hashes(self, at: np.ndarray, length: int) -> np.ndarray:
         each, view = xxhash.xxh3_64_intdigest, memoryview(self.joined)
@@ -56,7 +56,7 @@ class _Words:
         return np.frombuffer(raw, dtype=[("high", "<u8"), ("low", "<u8")])
 
     def anchors(self, length: int) -> np.ndarray:
-        at = np.arange(max(len(self.words) - length + 1, 0))
+        at = np.arange(max(self.n - length + 1, 0))
         return at[np.isin(at % PERIOD, COVER)]
 
 
@@ -164,12 +164,13 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
             a, b = np.searchsorted(part, [k, k + 1])
             shared[a:b] |= np.isin(short[a:b], _unpack48(packet))
         known = distinct[shared]
+        every = np.concatenate(hashes)
+        place = np.minimum(np.searchsorted(known, every), max(len(known) - 1, 0))
+        hits = known[place] == every if len(known) else np.zeros(len(every), bool)
         starts = []
-        for w, a, h in zip(words, at, hashes, strict=True):
-            last = len(w.words) - window
-            hit = a[np.isin(h, known)]
-            near = np.unique((hit[:, None] - np.arange(PERIOD)[None, :]).ravel())
-            starts.append(near[(near >= 0) & (near <= last)])
+        for w, a, hit in zip(words, at, np.split(hits, np.cumsum([len(h) for h in hashes])[:-1]), strict=True):
+            near = np.unique((a[hit][:, None] - np.arange(PERIOD)[None, :]).ravel())
+            starts.append(near[(near >= 0) & (near <= w.n - window)])
         return words, starts
 
     def smallest(texts, words, starts) -> tuple[np.ndarray, list[np.ndarray]]:
@@ -218,12 +219,12 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
         out: list[list] = [[], [], [], [], []]
         for (sid_, _), w, s, own in zip(texts, words, starts, each, strict=True):
             gone = s[every["doc"][_find(every, own)] < sid_] if len(s) else s
-            depth = np.zeros(len(w.words) + 1, "int64")
+            depth = np.zeros(w.n + 1, "int64")
             np.add.at(depth, gone, 1)
             np.add.at(depth, gone + window, -1)
             covered = np.cumsum(depth[:-1]) > 0
-            kept = b" ".join([x for x, c in zip(w.words, covered.tolist(), strict=True) if not c]) if len(gone) else w.joined
-            row = (None if sid_ == NULL_ID else sid_, len(w.words), int(covered.sum()), kept.decode("utf-8", "replace") if with_text else None, hashlib.sha256(kept).hexdigest())
+            kept = b" ".join([x for x, c in zip(w.joined.split(b" "), covered.tolist(), strict=True) if not c]) if len(gone) else w.joined
+            row = (None if sid_ == NULL_ID else sid_, w.n, int(covered.sum()), kept.decode("utf-8", "replace") if with_text else None, hashlib.sha256(kept).hexdigest())
             for column, value in zip(out, row, strict=True):
                 column.append(value)
         return pa.table([pa.array(c, f.type) for c, f in zip(out, DONE, strict=True)], schema=DONE)
