@@ -20,7 +20,7 @@ from __future__ import annotations
 
 import math
 from collections import defaultdict
-from collections.abc import Iterable, Iterator
+from collections.abc import Callable, Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -89,16 +89,26 @@ class Items:
 
 def contaminated(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_id_col: str = "item_id", item_text_col: str = "text", size: int = 5, threshold: float = 0.8, broadcast_mb: float = 8) -> DataFrame:
     """Pairs (doc_id, item_id) with n_shingles, n_found and containment, at the threshold or above."""
-    tests = items.select(F.col(item_id_col).cast("long").alias("item_id"), F.col(item_text_col).alias("item")).where("item is not null")
+    tests = _tests(items, item_id_col, item_text_col)
     source = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
-    bytes_in = tests.agg(F.coalesce(F.sum(F.octet_length("item")), F.lit(0)).alias("n"), F.count("*").alias("rows")).first()
-    if bytes_in["n"] + 200 * bytes_in["rows"] <= broadcast_mb * 1e6:
-        known = docs.sparkSession.sparkContext.broadcast([(r["item_id"], r["item"].encode()) for r in tests.collect()])
-        return _scan(source, lambda: Items(known.value, size, threshold)).distinct()
-    return _by_shuffle(source, tests, size, threshold).distinct()
+    make = _small(tests, size, threshold, broadcast_mb)
+    return (_by_shuffle(source, tests, size, threshold) if make is None else _scan(source, make)).distinct()
 
 
-def _scan(source: DataFrame, make) -> DataFrame:
+def _tests(items: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    return items.select(F.col(id_col).cast("long").alias("item_id"), F.col(text_col).alias("item")).where("item is not null")
+
+
+def _small(tests: DataFrame, size: int, threshold: float, broadcast_mb: float) -> Callable[[], Items] | None:
+    """What makes the items' index in a task, if their size is below the bound."""
+    found = tests.agg(F.coalesce(F.sum(F.octet_length("item")), F.lit(0)).alias("n"), F.count("*").alias("rows")).first()
+    if found["n"] + 200 * found["rows"] > broadcast_mb * 1e6:
+        return None
+    known = tests.sparkSession.sparkContext.broadcast([(r["item_id"], r["item"].encode()) for r in tests.collect()])
+    return lambda: Items(known.value, size, threshold)
+
+
+def _scan(source: DataFrame, make: Callable[[], Items]) -> DataFrame:
     schema = pa.schema([("doc_id", pa.int64()), ("item_id", pa.int64()), ("n_shingles", pa.int32()), ("n_found", pa.int32()), ("containment", pa.float64())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -111,49 +121,61 @@ def _scan(source: DataFrame, make) -> DataFrame:
     return source.mapInArrow(run, PAIRS)
 
 
-def _by_shuffle(source: DataFrame, tests: DataFrame, size: int, threshold: float) -> DataFrame:
-    """Sketches joined with the documents' shingles by hash; candidates verified with both texts at hand."""
-    named = pa.schema([("item_id", pa.int64()), ("length", pa.int32()), ("hash", pa.int64())])
-    held = pa.schema([("doc_id", pa.int64()), ("length", pa.int32()), ("hash", pa.int64())])
+def _by_shuffle(source: DataFrame, tests: DataFrame, size: int, threshold: float, by_text: bool = False) -> DataFrame:
+    """Sketches joined with the documents' shingles by hash; candidates verified with both texts at hand. Texts go
+    by their MD5, so that rows with null or equal ids are matched by what they hold."""
+    texts_of = {"doc": source.select(F.md5("text").alias("doc"), "text").where("text is not null").distinct(), "item": tests.select(F.md5("item").alias("key"), "item").distinct().withColumnsRenamed({"item": "text", "key": "item"})}
 
-    def signed(gram: bytes) -> int:
-        return int(np.uint64(xxhash.xxh3_64_intdigest(gram)).astype("int64"))
+    def hashes(kind: str, grams_of: Callable[[list[bytes]], Iterable[tuple[int, bytes]]]) -> DataFrame:
+        schema = pa.schema([(kind, pa.string()), ("length", pa.int32()), ("hash", pa.int64())])
 
-    def probes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in slices(batches):
-            rows = []
-            for i, t in zip(batch["item_id"].to_pylist(), texts(batch["item"]), strict=True):
-                if words := normal_words(t):
-                    length = min(size, len(words))
-                    rows += [(i, length, signed(g)) for g in sketch(set(shingles(words, length)), threshold)]
-            if rows:
-                yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows, strict=True), named, strict=True)], schema=named)
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in slices(batches, 1 << 20):
+                rows = [(k, n, int(np.uint64(xxhash.xxh3_64_intdigest(g)).astype("int64"))) for k, t in zip(batch[kind].to_pylist(), texts(batch["text"]), strict=True) for n, g in grams_of(normal_words(t))]
+                if rows:
+                    yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows, strict=True), schema, strict=True)], schema=schema)
 
-    wanted = tests.mapInArrow(probes, "item_id long, length int, hash long")
-    lengths = [r["length"] for r in wanted.select("length").distinct().collect()]  # at most `size` numbers
+        return texts_of[kind].mapInArrow(run, f"{kind} string, length int, hash long")
 
-    def grams(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in slices(batches, 1 << 20):
-            rows = [(d, n, signed(g)) for d, t in zip(batch["doc_id"].to_pylist(), texts(batch["text"]), strict=True) for n in lengths for g in set(shingles(normal_words(t), n))]
-            if rows:
-                yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows, strict=True), held, strict=True)], schema=held)
+    def probes(words: list[bytes]) -> Iterable[tuple[int, bytes]]:
+        length = min(size, len(words))
+        return [(length, g) for g in sketch(set(shingles(words, length)), threshold)] if words else []
 
-    near = source.mapInArrow(grams, "doc_id long, length int, hash long").join(wanted, ["length", "hash"]).select("doc_id", "item_id").distinct()
-    both = near.join(source, "doc_id").join(tests, "item_id").select("doc_id", "text", "item_id", "item")
-    schema = pa.schema([("doc_id", pa.int64()), ("item_id", pa.int64()), ("n_shingles", pa.int32()), ("n_found", pa.int32()), ("containment", pa.float64())])
+    wanted = hashes("item", probes)
+    lengths = [r["length"] for r in wanted.select("length").distinct().collect()]  # at most `size` numbers
+    held = hashes("doc", lambda words: [(n, g) for n in lengths for g in set(shingles(words, n))] if words else [])
+    near = held.join(wanted, ["length", "hash"]).select("doc", "item").distinct()
+    both = near.join(texts_of["doc"], "doc").join(texts_of["item"].withColumnRenamed("text", "item_text"), "item")
+    checked = pa.schema([("doc", pa.string()), ("item", pa.string()), ("n_shingles", pa.int32()), ("n_found", pa.int32()), ("containment", pa.float64())])
 
     def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches, 2 << 20):
             rows = []
-            for d, t, i, item in zip(batch["doc_id"].to_pylist(), texts(batch["text"]), batch["item_id"].to_pylist(), texts(batch["item"]), strict=True):
-                rows += [(d, i, n, hits, hits / n) for i, n, hits in Items([(i, item)], size, threshold).found_in(t)]
+            for d, t, i, item in zip(batch["doc"].to_pylist(), texts(batch["text"]), batch["item"].to_pylist(), texts(batch["item_text"]), strict=True):
+                rows += [(d, i, n, hits, hits / n) for _, n, hits in Items([(0, item)], size, threshold).found_in(t)]
             if rows:
-                yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows, strict=True), schema, strict=True)], schema=schema)
-
-    return both.mapInArrow(verify, PAIRS)
-
+                yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows, strict=True), checked, strict=True)], schema=checked)
+
+    found = both.mapInArrow(verify, "doc string, item string, n_shingles int, n_found int, containment double")
+    if by_text:
+        return found.select(F.col("doc").alias("__hit")).distinct()
+    docs, items = source.select("doc_id", F.md5("text").alias("doc")), tests.select("item_id", F.md5("item").alias("item"))
+    return found.join(docs, "doc").join(items, "item").select("doc_id", "item_id", "n_shingles", "n_found", "containment")
+
+
+def decontaminate(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_id_col: str = "item_id", item_text_col: str = "text", size: int = 5, threshold: float = 0.8, broadcast_mb: float = 8) -> DataFrame:
+    """The documents that hold no test item, with all their columns; rows with equal or null ids are judged each by
+    their own text."""
+    tests = _tests(items, item_id_col, item_text_col)
+    make = _small(tests, size, threshold, broadcast_mb)
+    if make is None:
+        source = docs.select(F.lit(None).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
+        hits = _by_shuffle(source, tests, size, threshold, by_text=True)
+        return docs.join(hits, F.md5(text_col) == F.col("__hit"), "left_anti")
+
+    def clean(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known = make()
+        for batch in slices(batches):
+            yield batch.filter(pa.array([not known.found_in(t) for t in texts(batch[text_col])], pa.bool_()))
 
-def decontaminate(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
-    """The documents that hold no test item, with all their columns."""
-    hits = contaminated(docs, items, id_col, text_col, **options).select(F.col("doc_id").alias("__hit")).distinct()
-    return docs.join(hits, docs[id_col].cast("long").eqNullSafe(F.col("__hit")), "left_anti")
+    return docs.mapInArrow(clean, docs.schema)

@@ -147,8 +147,7 @@ def _links(radius: int):
             else:
                 part = np.r_[part, batch["piece"].to_numpy(zero_copy_only=False)]
                 value = np.r_[value, batch["fp"].to_numpy(zero_copy_only=False).astype("int64").view("<u8")]
-                whole = int(np.searchsorted(part == part[-1], True)) if len(part) and part[0] != part[-1] else 0
-                whole = int(np.flatnonzero(part != part[-1])[-1]) + 1 if whole else 0
+                whole = int(np.searchsorted(part, part[-1])) if len(part) else 0
             if whole:
                 for a, b in found(part[:whole], value[:whole]):
                     if len(a):

@@ -367,3 +367,26 @@ def test_empty_and_null_tables(spark, name):
         assert 1 <= n <= 3
     elif name != "mixed":
         assert n == len(odd)
+
+
+def test_empty_and_odd_tables_of_pairs(spark):
+    odd = [(None, None, None, None, None, None, None, None)] * 2 + [(5, "one two three four five six", "en", "a", 1, "", 1, "")] * 2 + [(None, "One, two three four five", None, None, None, None, None, None)]
+    items = spark.createDataFrame([(1, "one two three four five"), (2, None), (None, "six")], "item_id long, text string")
+    for mb in (8, 0):
+        out = contamination.contaminated(frame(spark, odd), items, broadcast_mb=mb)
+        found = {tuple(r) for r in out.select("doc_id", "item_id", "n_found").collect()}
+        assert found == ({(5, 1, 1), (5, None, 1), (None, 1, 1)})
+        assert contamination.contaminated(frame(spark, []), items, broadcast_mb=mb).count() == 0
+        assert contamination.contaminated(frame(spark, odd), items.limit(0), broadcast_mb=mb).count() == 0
+        left = contamination.decontaminate(frame(spark, odd), items, broadcast_mb=mb)
+        assert left.columns == frame(spark, odd).columns
+        assert [(r["doc_id"], r["text"]) for r in left.collect()] == [(None, None)] * 2
+    rules = spark.createDataFrame(registry.URL_RULES, "host string, path string, verdict string")
+    pages = spark.createDataFrame([(None, None, "x", "y"), (1, "http://com/en/", "x", None), (1, "http://com/en/", None, "y")], "page_id long, url string, host string, key string")
+    assert sorted(r["verdict"] for r in urls.judge_urls(pages, rules).collect()) == ["allow", "block", "block"]
+    assert urls.judge_urls(pages.limit(0), rules).count() == 0
+    assert [r["rule"] for r in urls.judge_urls(pages, rules.limit(0)).collect()] == [None] * 3
+    labels = spark.createDataFrame([(5, 1)], "doc_id long, quality int")
+    assert quality.classify(frame(spark, []), labels).count() == 0
+    assert quality.classify(frame(spark, odd), labels.limit(0)).count() == len(odd)
+    assert quality.keep_good(frame(spark, odd), labels).columns == frame(spark, odd).columns

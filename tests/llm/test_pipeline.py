@@ -45,3 +45,12 @@ def test_odd_rows(spark, tmp_path):
         stage(spark, docs, SF).write.parquet(f"{tmp_path}/{k}")
         docs = spark.read.parquet(f"{tmp_path}/{k}")
     assert docs.count() > 0
+
+
+def test_empty_documents(spark):
+    docs = spark.read.parquet(f"{SF}/documents.parquet").limit(0)
+    for name, stage in corpus_pipeline.STAGES:
+        out = stage(spark, docs, SF)
+        assert out.count() == 0, name
+        if stage is not corpus_pipeline.STAGES[-1][1]:
+            assert out.columns == docs.columns
