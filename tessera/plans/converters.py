@@ -175,6 +175,23 @@ def _truth(column: Column) -> Column:
     return F.when(c.isin(*YES, "y", "t"), True).when(c.isin(*NO, "n", "f"), False)
 
 
+def separate_conversions(spec: Any) -> tuple[dict[str, UniversalType], dict[str, str], dict[str, str]]:
+    """A spec's fields by how they convert: by cast, by a converter with a Column form, by one in Python only."""
+    casts = {f.name: f.type for f in spec.fields if f.type != UniversalType.ANY and not f.custom_cast}
+    custom = {f.name: f.custom_cast for f in spec.fields if f.custom_cast}
+    columns = {n: c for n, c in custom.items() if REGISTRY.is_vectorized(c)}
+    return casts, columns, {n: c for n, c in custom.items() if n not in columns}
+
+
+def apply_converters_to_dict(record: dict[str, Any], conversions: dict[str, str]) -> dict[str, Any]:
+    """A record with named converters applied to its fields; fields that it lacks are left out."""
+    return record | {n: REGISTRY.convert(record[n], c, n) for n, c in conversions.items() if n in record}
+
+
+def apply_converters_to_dicts(records: list[dict[str, Any]], conversions: dict[str, str]) -> list[dict[str, Any]]:
+    return [apply_converters_to_dict(r, conversions) for r in records]
+
+
 REGISTRY = ConverterRegistry()
 REGISTRY.register("safe_float", "number", safe_float, _finite, "floats; NaN and infinities are NULL")
 REGISTRY.register("safe_int", "integer", safe_int, lambda c: _finite(c).try_cast("long"), "integers, fractions cut off")

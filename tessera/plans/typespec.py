@@ -144,6 +144,21 @@ def to_struct_type(spec: TypeSpec) -> T.StructType:
     return T.StructType(out)
 
 
+def to_arrow_schema(spec: TypeSpec) -> Any:
+    """The Arrow schema that Spark exchanges for these fields."""
+    from pyspark.sql.pandas.types import to_arrow_schema as convert
+
+    return convert(to_struct_type(spec))
+
+
+_PANDAS = {UniversalType.INTEGER: "Int64", UniversalType.YEAR: "Int64", UniversalType.NUMBER: "float64", UniversalType.BOOLEAN: "boolean", UniversalType.DATE: "datetime64[ns]", UniversalType.DATETIME: "datetime64[ns]", UniversalType.DURATION: "timedelta64[ns]", UniversalType.STRING: "string"}
+
+
+def to_pandas_dtypes(spec: TypeSpec) -> dict[str, str]:
+    """Names of pandas dtypes; object where pandas has none."""
+    return {f.name: _PANDAS.get(f.type, "object") for f in spec.fields}
+
+
 def typespec_to_frictionless(spec: TypeSpec) -> dict[str, Any]:
     """A Table Schema descriptor; keys without a value are left out."""
     out: dict[str, Any] = {key: getattr(spec, a) for a, key in _SPEC_KEYS.items() if getattr(spec, a) is not None}

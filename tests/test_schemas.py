@@ -229,3 +229,13 @@ def test_package(spark, tmp_path):
     dag.add("loose", dag.ref("rows").filter(col("x") > 1))
     with pytest.raises(te.MissingResourceSchema):
         dag.to_package()
+
+
+def test_more_schema_forms():
+    from tessera.plans.converters import apply_converters_to_dicts, separate_conversions
+
+    spec = te.conform({"a": {"cast": "integer"}, "b": {"cast": "rich_boolean"}, "c": {}}).spec
+    assert separate_conversions(spec) == ({"a": U.INTEGER}, {"b": "rich_boolean"}, {})
+    assert apply_converters_to_dicts([{"b": "no"}, {"a": 1}], {"b": "rich_boolean"}) == [{"b": False}, {"a": 1}]
+    assert ts.to_pandas_dtypes(spec) == {"a": "Int64", "b": "object", "c": "object"}
+    assert [f.name for f in ts.to_arrow_schema(te.typespec({"x": "date", "y": "number"}))] == ["x", "y"]
