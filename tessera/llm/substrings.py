@@ -7,9 +7,12 @@ documents and ranges of hashes:
 
 1. each group sends the distinct hashes of its anchors to the ranges that they fall in;
 2. each range tells the groups which of their hashes also occur in other groups;
-3. each group extends shared anchors to the whole windows around them and sends those windows' 128-bit hashes
-   with the smallest id that holds each;
-4. each range tells the groups which windows start in a smaller id elsewhere; the groups mark words.
+3. each group extends shared anchors to the whole windows around them, marks those that a smaller id of the group
+   has, and sends the hashes (96 bits and the range) of the others, each once, with the id;
+4. each range tells the groups which of these start in a smaller id elsewhere; the groups remove the words.
+
+What a group has worked out in round 3 (the windows and its marks, as runs and bits) passes through the exchange
+of round 4 back to itself, so the last pass hashes nothing.
 
 What travels is one packed array for each pair of group and range, not rows: a passage that a third of the
 documents share is one hash for each group, however often it occurs. Documents are dealt into groups by hash
@@ -22,10 +25,11 @@ equal ids aren't smaller than each other, so neither loses words to the other; a
 from __future__ import annotations
 
 import hashlib
+from collections.abc import Callable, Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.compute
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -34,30 +38,56 @@ from tessera.llm.shared import NULL_ID, id_or_last, partitions
 
 #: A perfect difference cover: every remainder modulo PERIOD is a difference of two of its members.
 PERIOD, COVER = 7, (0, 1, 3)
+#: Groups of documents for each range of hashes: a task holds one group's texts at a time.
+GROUPS = 4
+COVERED = np.isin(np.arange(PERIOD), COVER)
 MASK48 = (1 << 48) - 1
 
 
 class _Words:
-    """A text's words joined by one space, and the byte range of each."""
+    """Words of some texts in a row: all joined by one space, with each word's bytes, text and place in the text."""
+
+    def __init__(self, texts: list[bytes]):
+        self.n = len(texts)
+        split = [t.split() for t in texts]
+        counts = np.array([len(w) for w in split], "int32")
+        flat = list(chain.from_iterable(split))
+        self.joined = b" ".join(flat)
+        lengths = np.fromiter(map(len, flat), "int32", len(flat))
+        self.ends = np.cumsum(lengths + 1, dtype="int32") - 1
+        self.starts = self.ends - lengths
+        self.text = np.repeat(np.arange(len(texts), dtype="int32"), counts)
+        self.place = np.arange(len(flat), dtype="int32") - np.repeat(np.cumsum(counts, dtype="int32") - counts, counts)
+        self.left = counts[self.text] - self.place
+
+    def slices(self, at: np.ndarray, length: int) -> Iterator[bytes]:
+        """The bytes of `length` words from each position."""
+        joined = self.joined
+        return (joined[a:b] for a, b in zip(self.starts[at].tolist(), self.ends[at + length - 1].tolist(), strict=True))
 
-    def __init__(self, text: bytes):
-        words = text.split()
-        self.joined, self.n = b" ".join(words), len(words)
-        ends = np.cumsum(np.fromiter(map(len, words), "int64", self.n) + 1) - 1
-        self.ends, self.starts = ends, np.r_[0, ends[:-1] + 1] if self.n else ends
+    def anchors(self, length: int) -> np.ndarray:
+        """Positions of anchors: at cover places, within one text."""
+        return np.flatnonzero(COVERED[self.place % PERIOD] & (self.left >= length))
 
     def hashes(self, at: np.ndarray, length: int) -> np.ndarray:
-        each, view = xxhash.xxh3_64_intdigest, memoryview(self.joined)
-        return np.fromiter((each(view[a:b]) for a, b in zip(self.starts[at].tolist(), self.ends[at + length - 1].tolist(), strict=True)), "<u8", len(at))
+        return np.array([*map(xxhash.xxh3_64_intdigest, self.slices(at, length))], dtype="<u8")
 
     def wide_hashes(self, at: np.ndarray, length: int) -> np.ndarray:
-        each, view = xxhash.xxh3_128_digest, memoryview(self.joined)
-        raw = b"".join([each(view[a:b]) for a, b in zip(self.starts[at].tolist(), self.ends[at + length - 1].tolist(), strict=True)])
-        return np.frombuffer(raw, dtype=[("high", "<u8"), ("low", "<u8")])
+        raw = b"".join(map(xxhash.xxh3_128_digest, self.slices(at, length)))
+        return np.frombuffer(raw, dtype=[("high", ">u8"), ("low", ">u8")])
 
-    def anchors(self, length: int) -> np.ndarray:
-        at = np.arange(max(self.n - length + 1, 0))
-        return at[np.isin(at % PERIOD, COVER)]
+
+def _some(texts: list[bytes], most: int = 2 << 20) -> Iterator[list[bytes]]:
+    """Runs of texts of about `most` bytes."""
+    run, size = [], 0
+    for t in texts:
+        run.append(t)
+        size += len(t)
+        if size >= most:
+            yield run
+            run, size = [], 0
+    if run:
+        yield run
 
 
 def _ranges(high: np.ndarray, ranges: int) -> np.ndarray:
@@ -80,7 +110,8 @@ def _unpack48(raw: bytes) -> np.ndarray:
     return out.reshape(-1).view("<u8")
 
 
-WINDOW = np.dtype([("high", "<u8"), ("low", "<u4"), ("doc", "<i8")])
+#: A window on its way to a range: its hash, the id, and its number within the group.
+WINDOW = np.dtype([("high", "<u8"), ("low", "<u4"), ("doc", "<i8"), ("number", "<u4")])
 
 
 def _read(table: pa.Table) -> list[tuple[int, bytes]]:
@@ -88,33 +119,69 @@ def _read(table: pa.Table) -> list[tuple[int, bytes]]:
     return sorted(zip(table["sid"].to_pylist(), (t or b"" for t in table["raw"].to_pylist()), strict=True))
 
 
-def _by_window(windows: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """The order by hash and id, the windows so sorted, and where each new hash starts."""
-    order = np.lexsort((windows["doc"], windows["low"], windows["high"]))
-    ordered = windows[order]
-    high, low = ordered["high"], ordered["low"]
-    return order, ordered, np.r_[True, (high[1:] != high[:-1]) | (low[1:] != low[:-1])] if len(ordered) else np.empty(0, bool)
+def _by_hash(high: np.ndarray, low: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The stable order by hash, and where in it each new hash starts."""
+    order = np.argsort(high, kind="stable")
+    new = np.r_[True, high[order][1:] != high[order][:-1]]
+    if (~new[1:] & (low[order][1:] != low[order][:-1])).any():  # 64 bits collide: the other 32 decide
+        order = np.lexsort((low, high))
+        new = np.r_[True, (high[order][1:] != high[order][:-1]) | (low[order][1:] != low[order][:-1])]
+    return order, new
+
 
+def _note(doc: np.ndarray, place: np.ndarray, beaten: np.ndarray, twins: np.ndarray) -> bytes:
+    """A group's windows as runs (document, first start, length), one bit each for those beaten within the group, and
+    pairs (window, the one that decides for it)."""
+    first = np.flatnonzero(np.r_[True, (doc[1:] != doc[:-1]) | (place[1:] != place[:-1] + 1)])
+    runs = np.stack([doc[first], place[first], np.diff(np.r_[first, len(place)])], axis=1).astype("<u4")
+    return np.array([len(runs), len(twins)], "<u8").tobytes() + runs.tobytes() + twins.astype("<u4").tobytes() + np.packbits(beaten).tobytes()
 
-def _find(least: np.ndarray, wanted: np.ndarray) -> np.ndarray:
-    """Positions of wanted windows in least, which is sorted by hash and has all of them."""
-    at = np.searchsorted(least["high"], wanted["high"])
-    while len(off := np.flatnonzero(least["low"][at] != wanted["low"])):  # only where 64 bits collide
-        at[off] += 1
-    return at
 
+def _from_note(raw: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Each window's document and start, whether it's beaten, and the pairs."""
+    n, m = np.frombuffer(raw, "<u8", 2).tolist()
+    runs = np.frombuffer(raw, "<u4", 3 * n, 16).reshape(-1, 3).astype("int64")
+    twins = np.frombuffer(raw, "<u4", 2 * m, 16 + 12 * n).reshape(-1, 2).astype("int64")
+    total = int(runs[:, 2].sum())
+    inside = np.arange(total) - np.repeat(np.cumsum(runs[:, 2]) - runs[:, 2], runs[:, 2])
+    beaten = np.unpackbits(np.frombuffer(raw, "u1", -1, 16 + 12 * n + 8 * m), count=total).astype(bool)
+    return np.repeat(runs[:, 0], runs[:, 2]), np.repeat(runs[:, 1], runs[:, 2]) + inside, beaten, twins
 
-def _packets(split: np.ndarray, ranges: int, pieces, group: int, schema: pa.Schema) -> pa.Table:
-    """One row for each range that has anything; split: the range of each item, ascending."""
+
+PACKET = pa.schema([("part", pa.int32()), ("grp", pa.int32()), ("note", pa.bool_()), ("packet", pa.binary())])
+PACKET_DDL = "part int, grp int, note boolean, packet binary"
+
+
+def _packets(split: np.ndarray, ranges: int, pieces: Callable[[int, int], bytes], group: int, note: bytes | None = None) -> pa.Table:
+    """One row for each range that has anything (split: the range of each item, ascending); a note goes by a range
+    that the group's number picks."""
     cuts = np.searchsorted(split, np.arange(ranges + 1))
-    some = np.flatnonzero(cuts[1:] > cuts[:-1])
-    return pa.table({"part": pa.array(some, pa.int32()), "grp": pa.array(np.full(len(some), group), pa.int32()), "packet": pa.array([pieces(int(cuts[k]), int(cuts[k + 1])) for k in some], pa.binary())}, schema=schema)
+    some = np.flatnonzero(cuts[1:] > cuts[:-1]).tolist()
+    rows = [(k, group, False, pieces(int(cuts[k]), int(cuts[k + 1]))) for k in some]
+    if note is not None:
+        rows.append((group % ranges, group, True, note))
+    return _table(rows)
+
+
+def _table(rows: list[tuple[int, int, bool, bytes]]) -> pa.Table:
+    columns = list(zip(*rows, strict=True)) if rows else [[]] * len(PACKET)
+    return pa.table([pa.array(c, f.type) for c, f in zip(columns, PACKET, strict=True)], schema=PACKET)
+
+
+def _replies(asked: pa.Table, some: np.ndarray, packed: bytes, size: int, counts: list[int]) -> pa.Table:
+    """To each asking packet those of its items that are marked; packed has them all in order, `size` bytes each."""
+    ends = np.cumsum(np.r_[0, some])[np.cumsum([0, *counts])] * size
+    rows = zip(asked["part"].to_pylist(), asked["grp"].to_pylist(), ends.tolist(), ends[1:].tolist(), strict=False)
+    return _table([(part, group, False, packed[a:b]) for part, group, a, b in rows if b > a])
+
+
+def _mixed(part: np.ndarray, short: np.ndarray) -> np.ndarray:
+    """One word for a range and 48 bits of hash; two that coincide only add candidates."""
+    return short ^ (part.astype("<u8") * np.uint64(0x9E3779B97F4A7C15))
 
 
-PACKET = pa.schema([("part", pa.int32()), ("grp", pa.int32()), ("packet", pa.binary())])
-ANSWER = pa.schema([("grp", pa.int32()), ("part", pa.int32()), ("packet", pa.binary())])
 DONE = pa.schema([("doc_id", pa.int64()), ("n_words", pa.int64()), ("n_removed", pa.int64()), ("kept_text", pa.string()), ("kept_sha256", pa.string())])
-PACKET_DDL, ANSWER_DDL = "part int, grp int, packet binary", "grp int, part int, packet binary"
+
 
 
 def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", window: int = 13, with_text: bool = True) -> DataFrame:
@@ -122,116 +189,128 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     if window < PERIOD:
         raise ValueError(f"a window has at least {PERIOD} words")
     spark = docs.sparkSession
-    groups = ranges = partitions(spark)
+    ranges = partitions(spark)
+    groups = GROUPS * ranges
     anchor = window - PERIOD + 1
 
     sid = id_or_last(id_col)
-    dealt = docs.select(F.pmod(F.xxhash64(sid), F.lit(groups)).cast("int").alias("grp"), sid.alias("sid"), F.col(text_col).cast("binary").alias("raw")).repartition(groups, "grp")
-
-    def own_anchors(texts: list[tuple[int, bytes]]) -> tuple[list[_Words], list[np.ndarray], list[np.ndarray], np.ndarray, np.ndarray]:
-        """Words, anchor positions and hashes of each document; the group's distinct hashes and the documents of each."""
-        words = [_Words(t) for _, t in texts]
-        at = [w.anchors(anchor) for w in words]
-        hashes = [w.hashes(a, anchor) for w, a in zip(words, at, strict=True)]
-        each = [np.unique(h) for h in hashes]
-        distinct, holders = np.unique(np.concatenate(each), return_counts=True) if each else (np.empty(0, "<u8"), np.empty(0, "int64"))
-        return words, at, hashes, distinct, holders
+    dealt = docs.select(F.pmod(F.xxhash64(sid), F.lit(groups)).cast("int").alias("grp"), sid.alias("sid"), F.col(text_col).cast("binary").alias("raw")).repartition(ranges, "grp")
 
     def ask(table: pa.Table) -> pa.Table:
-        group = table["grp"][0].as_py()
         each = []
-        for raw in table["raw"].to_pylist():
-            words = _Words(raw or b"")
+        for run in _some([t or b"" for t in table["raw"].to_pylist()]):
+            words = _Words(run)
             each.append(np.unique(words.hashes(words.anchors(anchor), anchor)))
         distinct = np.unique(np.concatenate(each))
         values = _short(distinct)
-        return _packets(_ranges(distinct, ranges), ranges, lambda a, b: _pack48(values[a:b]), group, PACKET)
+        return _packets(_ranges(distinct, ranges), ranges, lambda a, b: _pack48(values[a:b]), table["grp"][0].as_py())
 
     def answer(table: pa.Table) -> pa.Table:
-        packets = [_unpack48(p) for p in table["packet"].to_pylist()]
-        distinct, holders = np.unique(np.concatenate([np.unique(p) for p in packets]), return_counts=True)
-        shared = distinct[holders > 1]
-        replies = [np.intersect1d(p, shared) for p in packets]
-        some = [k for k, r in enumerate(replies) if len(r)]
-        return pa.table({"grp": table["grp"].take(pa.array(some, pa.int64())), "part": table["part"].take(pa.array(some, pa.int64())), "packet": pa.array([_pack48(replies[k]) for k in some], pa.binary())}, schema=ANSWER)
-
-    def candidates(texts: list[tuple[int, bytes]], answers: pa.Table) -> tuple[list[_Words], list[np.ndarray]]:
-        """Words of each document, and the starts of windows around an anchor that another document has."""
-        words, at, hashes, distinct, holders = own_anchors(texts)
+        packets = table["packet"].to_pylist()
+        every = _unpack48(b"".join(packets))
+        order = np.argsort(every, kind="stable")
+        begins = np.flatnonzero(np.r_[True, every[order][1:] != every[order][:-1]])
+        sizes = np.diff(np.r_[begins, len(every)])
+        shared = np.empty(len(every), bool)
+        shared[order] = np.repeat(sizes > 1, sizes)
+        return _replies(table, shared, _pack48(every[shared]), 6, [len(p) // 6 for p in packets])
+
+    def candidates(texts: list[bytes], answers: pa.Table) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Windows around an anchor that another text has: their text's number, their start in it, their hash."""
+        runs = [_Words(run) for run in _some(texts)]
+        at = [w.anchors(anchor) for w in runs]
+        every = np.concatenate([w.hashes(a, anchor) for w, a in zip(runs, at, strict=True)])
+        first = np.cumsum([0, *[w.n for w in runs]]).tolist()
+        owner = np.concatenate([w.text[a] + f for w, a, f in zip(runs, at, first, strict=False)])
+        order = np.argsort(every, kind="stable")
+        begins = np.flatnonzero(np.r_[True, every[order][1:] != every[order][:-1]]) if len(every) else np.empty(0, "int64")
+        distinct = every[order][begins]
+        shared = np.minimum.reduceat(owner[order], begins) < np.maximum.reduceat(owner[order], begins) if len(every) else np.empty(0, bool)
         part, short = _ranges(distinct, ranges), _short(distinct)
-        shared = holders > 1
-        for k, packet in zip(answers["part"].to_pylist(), answers["packet"].to_pylist(), strict=True):
-            a, b = np.searchsorted(part, [k, k + 1])
-            shared[a:b] |= np.isin(short[a:b], _unpack48(packet))
-        known = distinct[shared]
-        every = np.concatenate(hashes)
-        place = np.minimum(np.searchsorted(known, every), max(len(known) - 1, 0))
-        hits = known[place] == every if len(known) else np.zeros(len(every), bool)
-        starts = []
-        for w, a, hit in zip(words, at, np.split(hits, np.cumsum([len(h) for h in hashes])[:-1]), strict=True):
-            near = np.unique((a[hit][:, None] - np.arange(PERIOD)[None, :]).ravel())
-            starts.append(near[(near >= 0) & (near <= w.n - window)])
-        return words, starts
-
-    def smallest(texts, words, starts) -> tuple[np.ndarray, list[np.ndarray]]:
-        """The group's distinct windows (sorted) with the smallest id of each, and each document's windows."""
-        each = []
-        for (sid_, _), w, s in zip(texts, words, starts, strict=True):
-            wide = w.wide_hashes(s, window)
-            own = np.empty(len(s), dtype=WINDOW)
-            own["high"], own["low"], own["doc"] = wide["high"], wide["low"].astype("<u4"), sid_
-            each.append(own)
-        _, every, new = _by_window(np.concatenate(each))
-        return every[new], each
+        packets = answers["packet"].to_pylist()
+        told = np.repeat(answers["part"].to_numpy(), [len(p) // 6 for p in packets])
+        shared |= np.isin(_mixed(part, short), _mixed(told, _unpack48(b"".join(packets))))
+        hit = np.empty(len(every), bool)
+        hit[order] = np.repeat(shared, np.diff(np.r_[begins, len(every)]))
+        text, place, wide = [], [], []
+        for w, a, h, f in zip(runs, at, np.split(hit, np.cumsum([len(a) for a in at])[:-1]), first, strict=False):
+            back = np.arange(PERIOD)[None, :]
+            near = a[h][:, None] - back
+            near = np.unique(near[back <= w.place[a[h]][:, None]])
+            near = near[w.left[near] >= window]
+            wide.append(w.wide_hashes(near, window))
+            text.append(w.text[near] + f)
+            place.append(w.place[near])
+        return np.concatenate(text), np.concatenate(place), np.concatenate(wide)
 
     def ask_windows(key: tuple, left: pa.Table, right: pa.Table) -> pa.Table:
         if not left.num_rows:
-            return PACKET.empty_table()
+            return _table([])
         texts = _read(left)
-        words, starts = candidates(texts, right)
-        least, _ = smallest(texts, words, starts)
-        return _packets(_ranges(least["high"], ranges), ranges, lambda a, b: least[a:b].tobytes(), left["grp"][0].as_py(), PACKET)
+        text, place, wide = candidates([t for _, t in texts], right)
+        if not len(wide):
+            return _table([])
+        doc = np.array([sid_ for sid_, _ in texts], "int64")[text]
+        high, low = wide["high"].astype("<u8"), wide["low"].astype("<u4")
+        order, new = _by_hash(high, low)
+        # Windows are numbered by ascending id, so the first of a hash decides for the others.
+        leader = order[np.flatnonzero(new)][np.cumsum(new) - 1]
+        same = doc[order] == doc[leader]
+        beaten = np.zeros(len(doc), bool)
+        beaten[order[~same]] = True
+        follows = same & (order != leader)
+        sent = np.empty(int(new.sum()), WINDOW)
+        first = order[new]
+        sent["high"], sent["low"], sent["doc"], sent["number"] = high[first], low[first], doc[first], first
+        note = _note(text, place, beaten, np.stack([order[follows], leader[follows]], axis=1))
+        return _packets(_ranges(sent["high"], ranges), ranges, lambda a, b: sent[a:b].tobytes(), left["grp"][0].as_py(), note)
 
     def answer_windows(table: pa.Table) -> pa.Table:
-        packets = [np.frombuffer(p, WINDOW) for p in table["packet"].to_pylist()]
-        owner = np.repeat(np.arange(len(packets)), [len(p) for p in packets])
-        order, every, new = _by_window(np.concatenate(packets))
-        least = every["doc"][np.flatnonzero(new)[np.cumsum(new) - 1]]
-        beaten = least < every["doc"]
-        every["doc"] = least
-        every, owner = every[beaten], owner[order][beaten]
-        back = np.argsort(owner, kind="stable")
-        replies = np.split(every[back], np.cumsum(np.bincount(owner, minlength=len(packets)))[:-1])
-        some = [k for k, r in enumerate(replies) if len(r)]
-        return pa.table({"grp": table["grp"].take(pa.array(some, pa.int64())), "part": table["part"].take(pa.array(some, pa.int64())), "packet": pa.array([replies[k].tobytes() for k in some], pa.binary())}, schema=ANSWER)
+        is_note = table["note"].to_numpy()
+        notes = table.filter(pa.array(is_note))
+        own = table.filter(pa.array(~is_note))
+        if not own.num_rows:
+            return notes
+        packets = own["packet"].to_pylist()
+        every = np.frombuffer(b"".join(packets), WINDOW)
+        order, new = _by_hash(every["high"], every["low"])
+        least = np.minimum.reduceat(every["doc"][order], np.flatnonzero(new))[np.cumsum(new) - 1]
+        beaten = np.empty(len(every), bool)
+        beaten[order] = least < every["doc"][order]
+        answered = _replies(own, beaten, every["number"][beaten].tobytes(), 4, [len(p) // WINDOW.itemsize for p in packets])
+        return pa.concat_tables([answered, notes])
 
     def finish(key: tuple, left: pa.Table, right: pa.Table) -> pa.Table:
         if not left.num_rows:
             return DONE.empty_table()
         texts = _read(left)
-        anchors = right.filter(pa.compute.equal(right["round"], 1))
-        windows = right.filter(pa.compute.equal(right["round"], 2))
-        words, starts = candidates(texts, anchors)
-        least, each = smallest(texts, words, starts)
-        elsewhere = [np.frombuffer(p, WINDOW) for p in windows["packet"].to_pylist()]
-        _, every, new = _by_window(np.concatenate([least, *elsewhere]))
-        every = every[new]
+        cuts, place = np.zeros(len(texts) + 1, "int64"), np.empty(0, "int64")
+        beaten = np.empty(0, bool)
+        replies = list(zip(right["note"].to_pylist(), right["packet"].to_pylist(), strict=True))
+        if notes := [p for note, p in replies if note]:
+            doc, place, beaten, twins = _from_note(notes[0])
+            for _, packet in (r for r in replies if not r[0]):
+                beaten[np.frombuffer(packet, "<u4")] = True
+            beaten[twins[:, 0]] |= beaten[twins[:, 1]]
+            cuts = np.searchsorted(doc, np.arange(len(texts) + 1))
         out: list[list] = [[], [], [], [], []]
-        for (sid_, _), w, s, own in zip(texts, words, starts, each, strict=True):
-            gone = s[every["doc"][_find(every, own)] < sid_] if len(s) else s
-            depth = np.zeros(w.n + 1, "int64")
-            np.add.at(depth, gone, 1)
-            np.add.at(depth, gone + window, -1)
-            covered = np.cumsum(depth[:-1]) > 0
-            kept = b" ".join([x for x, c in zip(w.joined.split(b" "), covered.tolist(), strict=True) if not c]) if len(gone) else w.joined
-            row = (None if sid_ == NULL_ID else sid_, w.n, int(covered.sum()), kept.decode("utf-8", "replace") if with_text else None, hashlib.sha256(kept).hexdigest())
+        for (sid_, raw), a, b in zip(texts, cuts.tolist(), cuts[1:].tolist(), strict=False):
+            words, gone, removed = raw.split(), place[a:b][beaten[a:b]], 0
+            if len(gone):
+                depth = np.zeros(len(words) + 1, "int64")
+                depth[gone] += 1
+                depth[gone + window] -= 1
+                covered = np.cumsum(depth[:-1]) > 0
+                removed = int(covered.sum())
+                words = [x for x, c in zip(words, covered.tolist(), strict=True) if not c]
+            kept = b" ".join(words)
+            row = (None if sid_ == NULL_ID else sid_, len(words) + removed, removed, kept.decode("utf-8", "replace") if with_text else None, hashlib.sha256(kept).hexdigest())
             for column, value in zip(out, row, strict=True):
                 column.append(value)
         return pa.table([pa.array(c, f.type) for c, f in zip(out, DONE, strict=True)], schema=DONE)
 
-    asked = dealt.groupBy("grp").applyInArrow(ask, PACKET_DDL)
-    known = asked.groupBy("part").applyInArrow(answer, ANSWER_DDL)
-    asked = dealt.groupBy("grp").cogroup(known.groupBy("grp")).applyInArrow(ask_windows, PACKET_DDL)
-    beaten = asked.groupBy("part").applyInArrow(answer_windows, ANSWER_DDL)
-    answers = known.withColumn("round", F.lit(1)).unionByName(beaten.withColumn("round", F.lit(2)))
-    return dealt.groupBy("grp").cogroup(answers.groupBy("grp")).applyInArrow(finish, "doc_id long, n_words long, n_removed long, kept_text string, kept_sha256 string")
+    by_group = dealt.groupBy("grp")
+    known = by_group.applyInArrow(ask, PACKET_DDL).groupBy("part").applyInArrow(answer, PACKET_DDL)
+    asked = by_group.cogroup(known.groupBy("grp")).applyInArrow(ask_windows, PACKET_DDL)
+    beaten = asked.groupBy("part").applyInArrow(answer_windows, PACKET_DDL)
+    return by_group.cogroup(beaten.groupBy("grp")).applyInArrow(finish, "doc_id long, n_words long, n_removed long, kept_text string, kept_sha256 string")
