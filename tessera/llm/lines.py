@@ -14,6 +14,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tessera.llm.shared import written
+
 SPACE = " \t\n\x0b\x0c\r"
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 NO_ID = -(2**63)
@@ -31,7 +33,9 @@ def drop_shared_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
     split = F.split("text", "\n", -1)
     keys = F.array_distinct(F.filter(F.transform(split, line_key), lambda key: F.char_length(key) >= min_chars))
     held = source.select("sid", F.explode(keys).alias("key")).select("sid", F.unhex(F.md5("key")).alias("hash"))
-    shared = held.groupBy("hash").agg(F.count("*").alias("n"), F.max("sid").alias("keeper")).where(F.col("n") >= min_docs).select("hash", "keeper")
+    counts = held.groupBy("hash").agg(F.count("*").alias("n"), F.max("sid").alias("keeper"))
+    # As a table of its own it leaves Spark free to split a hash that very many documents hold.
+    shared = written(counts.where(F.col("n") >= min_docs).select("hash", "keeper"), "shared-lines")
     losing = held.join(shared, "hash").where("sid < keeper").groupBy("sid").agg(F.collect_list("hash").alias("lost"))
     joined = source.join(losing, "sid", "left")
 
