@@ -28,7 +28,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm.shared import slices, texts
+from tessera.llm.shared import slices, texts, worker_memory
 
 PUNCTUATION = b"!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~"
 PAIRS = "doc_id long, item_id long, n_shingles int, n_found int, containment double"
@@ -174,6 +174,7 @@ def decontaminate(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", tex
         return docs.join(hits, F.md5(text_col) == F.col("__hit"), "left_anti")
 
     def clean(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        worker_memory()
         known = make()
         for batch in slices(batches):
             yield batch.filter(pa.array([not known.found_in(t) for t in texts(batch[text_col])], pa.bool_()))

@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm.shared import arrow_map, texts, written
+from tessera.llm.shared import arrow_map, slices, texts, worker_memory, written
 
 SYMBOLS = b"#$%&*@^~<>{}=+\\_/[]"
 SHRINKAGE = 0.02
@@ -172,7 +172,8 @@ def keep_good(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_c
     model = fit(stats, labels, label_col)
 
     def accept(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        worker_memory()
+        for batch in slices(batches):
             x = np.array([statistics(t) for t in texts(batch[text_col])], dtype="float64").reshape(-1, len(FEATURES))
             yield batch.filter(pa.array(model.score(x) >= 0.5))
 

@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+import sys
 import uuid
 from collections.abc import Callable, Iterator
+from types import ModuleType
+from typing import Any
 
 import numpy as np
 import pandas as pd
@@ -95,6 +98,15 @@ def slices(batches: Iterator[pa.RecordBatch], most: int = 8 << 20) -> Iterator[p
             yield batch.slice(at, size)
 
 
+def worker_memory(owner: str = "") -> dict[Any, Any]:
+    """What an operator's tasks keep in a Python worker between them. A task of another operator drops it, so that
+    a worker, which lives as long as the session, holds no more than one operator's."""
+    held = vars(sys.modules.setdefault("_tessera_worker", ModuleType("_tessera_worker")))
+    if held.get("owner") != owner:
+        held["owner"], held["memory"] = owner, {}
+    return held["memory"]
+
+
 def arrow_map(df: DataFrame, schema: str, rows: Callable[[pa.RecordBatch], dict]) -> DataFrame:
     """mapInArrow with a function from a batch to a dict of columns."""
     from pyspark.sql.pandas.types import to_arrow_schema
@@ -103,6 +115,7 @@ def arrow_map(df: DataFrame, schema: str, rows: Callable[[pa.RecordBatch], dict]
     target = to_arrow_schema(StructType.fromDDL(schema))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        worker_memory()
         for batch in slices(batches):
             out = rows(batch)
             yield pa.RecordBatch.from_arrays([pa.array(out[f.name], type=f.type) for f in target], schema=target)

@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tessera.llm.components import components
-from tessera.llm.shared import NULL_ID, arrow_map, id_or_last, partitions, texts, written
+from tessera.llm.shared import NULL_ID, arrow_map, id_or_last, partitions, texts, worker_memory, written
 
 ALL = np.uint64(0xFFFFFFFFFFFFFFFF)
 #: Runs of equal keys up to this length are compared by offset, longer ones as stored planes.
@@ -137,6 +137,7 @@ def _links(radius: int):
             yield run[left], run[right]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        worker_memory()
         part, value = np.empty(0, "int64"), np.empty(0, "<u8")
         last = False
         batches = iter(batches)

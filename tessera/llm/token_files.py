@@ -18,12 +18,10 @@ written, ordered by text; an empty table gives no files and no rows.
 
 from __future__ import annotations
 
-import sys
 import uuid
 import zlib
 from collections.abc import Iterator
 from operator import itemgetter
-from types import ModuleType
 
 import numpy as np
 import pyarrow as pa
@@ -31,7 +29,7 @@ import pyarrow.fs
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm.shared import NULL_ID, id_or_last, partitions, range_bounds, range_bucket, shared_folder, slices, texts
+from tessera.llm.shared import NULL_ID, id_or_last, partitions, range_bounds, range_bucket, shared_folder, slices, texts, worker_memory
 
 #: How many pieces a Python worker remembers; past that it learns others for the batch at hand only.
 PIECES = 1_000_000
@@ -64,8 +62,8 @@ class Encoder:
 
     @classmethod
     def of_worker(cls, tokenizer_path: str, dtype: str) -> Encoder:
-        """The Python worker's own encoder, which outlives a task."""
-        held = vars(sys.modules.setdefault("_tessera_encoders", ModuleType("_tessera_encoders")))
+        """The Python worker's own encoder, which outlives a task of this operator."""
+        held = worker_memory("tokens")
         if (tokenizer_path, dtype) not in held:
             held[tokenizer_path, dtype] = cls(tokenizer_path, dtype)
         return held[tokenizer_path, dtype]
