@@ -416,25 +416,25 @@ def ternary_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scores_base(spark, sf_dir).filter(_P().t_and(_Q())).select("k").compile()
 
 
-@query("SELECT doc_id, CASE WHEN doc_id % 3 = 0 THEN 0 WHEN list_contains(string_split(text[:200], ' '), lang) THEN 1 ELSE -1 END AS found FROM documents")
+@query("SELECT doc_id, CASE WHEN doc_id % 3 = 0 THEN 0 WHEN list_contains(string_split(text, ' '), lang) THEN 1 ELSE -1 END AS found FROM documents")
 def ternary_list_column(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = read(spark, sf_dir, "documents").with_columns(when(col("doc_id").modulo(3) == 0).then(None).otherwise(col("text").left(200).string_split(" ")).alias("listed"))
+    docs = read(spark, sf_dir, "documents").with_columns(when(col("doc_id").modulo(3) == 0).then(None).otherwise(col("text").string_split(" ")).alias("listed"))
     return docs.select("doc_id", te.native(t_col("lang").t_is_in(col("listed")).compile(booleanizer=None)).alias("found")).compile()
 
 
 def _join(how: str, on: str) -> None:
     @query(on)
     def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-        c = read(spark, sf_dir, "customer").filter(col("c_custkey") % 3 != 0).select(col("c_custkey").alias("key"), "c_name", col("c_nationkey").alias("tag"))
-        o = read(spark, sf_dir, "orders").filter(col("o_custkey") % 2 == 0).select(col("o_custkey").alias("key"), "o_orderkey", col("o_orderstatus").alias("tag"))
+        c = read(spark, sf_dir, "customer").filter(col("c_acctbal") > 0).select(col("c_custkey").alias("key"), "c_name", col("c_nationkey").alias("tag"))
+        o = read(spark, sf_dir, "orders").filter(col("o_orderstatus") != "F").select(col("o_custkey").alias("key"), "o_orderkey", col("o_orderstatus").alias("tag"))
         return c.join(o, on="key", how=how).compile()
 
     QUERIES[f"join_{how}"] = QUERIES.pop("run")
     SQL[f"join_{how}"] = SQL.pop("run")
 
 
-_C = "(SELECT c_custkey AS key, c_name, c_nationkey AS tag FROM customer WHERE c_custkey % 3 <> 0) c"
-_O = "(SELECT o_custkey AS key, o_orderkey, o_orderstatus AS tag FROM orders WHERE o_custkey % 2 = 0) o"
+_C = "(SELECT c_custkey AS key, c_name, c_nationkey AS tag FROM customer WHERE c_acctbal > 0) c"
+_O = "(SELECT o_custkey AS key, o_orderkey, o_orderstatus AS tag FROM orders WHERE o_orderstatus <> 'F') o"
 _join("inner", f"SELECT c.key, c_name, c.tag, o_orderkey, o.tag AS tag_right FROM {_C} JOIN {_O} ON c.key = o.key")
 _join("left", f"SELECT c.key, c_name, c.tag, o_orderkey, o.tag AS tag_right FROM {_C} LEFT JOIN {_O} ON c.key = o.key")
 _join("right", f"SELECT o.key, c_name, c.tag, o_orderkey, o.tag AS tag_right FROM {_C} RIGHT JOIN {_O} ON c.key = o.key")
@@ -552,10 +552,12 @@ def unique_keep_last(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read(spark, sf_dir, "orders").sort("o_orderdate", "o_orderkey").unique("o_custkey", keep="last").compile()
 
 
-@query("SELECT c_custkey, a FROM (SELECT c_custkey, CASE WHEN c_custkey % 5 = 0 THEN NULL ELSE c_acctbal END AS a FROM customer) ORDER BY a DESC NULLS LAST, c_custkey LIMIT 2000")
+@query("""SELECT row_number() OVER (ORDER BY a DESC NULLS LAST, c_custkey) - 1 AS place, c_custkey, a
+  FROM (SELECT c_custkey, CASE WHEN c_custkey % 5 = 0 THEN NULL ELSE c_acctbal END AS a FROM customer)""")
 def sort_nulls_last(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The order itself is in the result, as positions."""
     c = read(spark, sf_dir, "customer").select("c_custkey", when(col("c_custkey").modulo(5) == 0).then(None).otherwise(col("c_acctbal")).alias("a"))
-    return c.sort("a", "c_custkey", descending=[True, False]).head(2000).compile()
+    return c.sort("a", "c_custkey", descending=[True, False]).with_row_index("place").compile()
 
 
 @query("SELECT o_orderkey, o_totalprice FROM orders ORDER BY o_totalprice DESC, o_orderkey DESC LIMIT 25")
