@@ -5,12 +5,12 @@ space. Its fingerprint is the XXH3 128-bit digest of that form. Documents whose
 compared by their canonical bytes; should two differ, the later class gets a suffix, so that equal
 fingerprints mean equal canonical texts.
 
-Texts cross the network once, dealt into ranges of doc_id, which also brings each document next to its
+Texts cross the network once, compressed, dealt into ranges of doc_id, which also brings each document next to its
 successor. Within a task only the first holder of a shared digest passes its bytes on; the others are compared
 with it there, so a group that holds a third of the table sends one text for each task.
 
-Defined results: a null text counts as empty; a null id sorts after all others; rows with equal ids sort by
-text; an empty table gives no rows; columns besides id and text aren't read.
+Defined results: a null text counts as empty; a null id sorts after all others; rows with equal ids
+come in a fixed order; an empty table gives no rows; columns besides id and text aren't read.
 """
 
 from __future__ import annotations
@@ -19,12 +19,14 @@ import hashlib
 import unicodedata
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
 import xxhash
+import zstandard
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tessera.llm.shared import arrow_map, id_or_last, listed, partitions, range_bounds, range_bucket, slices, texts, written
+from tessera.llm.shared import arrow_map, id_or_last, partitions, range_bounds, range_bucket, slices, texts, written
 
 #: Bytes of canonical texts that a task keeps to compare others with; past it, it starts anew.
 KEEP_BYTES = 64 << 20
@@ -66,13 +68,23 @@ def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     # The first document of each range is also sent to the range before, as the last one's successor.
     firsts = sorted((r["bucket"], r["first"]) for r in ids.groupBy(bucket.alias("bucket")).agg(F.min("sid").alias("first")).collect())
     before = {first: firsts[i - 1][0] for i, (_, first) in enumerate(firsts)}
-    guard = listed(F.col("sid"), before)
-    place = F.array_compact(F.array(F.struct(bucket.alias("bucket"), F.lit(0).alias("guard")), F.when(guard >= 0, F.struct(guard.alias("bucket"), F.lit(1).alias("guard")))))
-    rows = source.withColumn("place", F.explode(place)).select("place.bucket", "place.guard", "sid", F.lit(1).alias("kind"), "doc_id", "text")
 
-    counts = ids.groupBy("digest").count().where("count > 1").select("digest")
-    marks = ids.join(counts, "digest").select(bucket.alias("bucket"), F.lit(0).alias("guard"), "sid", F.lit(0).alias("kind"), F.lit(None).cast("long").alias("doc_id"), F.lit(None).cast("string").alias("text"))
-    dealt = rows.unionByName(marks).repartition(partitions(spark), "bucket").sortWithinPartitions("bucket", "guard", "sid", "kind", "text")
+    def deal(batch: pa.RecordBatch) -> dict:
+        pack = zstandard.ZstdCompressor(level=1).compress
+        sids = batch["sid"].to_numpy()
+        own = np.searchsorted(bounds, sids, side="right").tolist()
+        packed = [pack(t) for t in texts(batch["text"])]
+        rows = list(zip(own, [0] * len(own), sids.tolist(), batch["doc_id"].to_pylist(), packed, strict=True))
+        rows += [(before[sid], 1, sid, doc_id, raw) for _, _, sid, doc_id, raw in rows if sid in before]
+        columns = list(zip(*rows, strict=True)) or [[]] * 5
+        return dict(zip(("bucket", "guard", "sid", "doc_id", "packed"), columns, strict=True)) | {"kind": [1] * len(rows)}
+
+    row = "bucket int, guard int, sid long, kind int, doc_id long, packed binary"
+    rows = arrow_map(source, row, deal)
+
+    counts = written(ids.groupBy("digest").count().where("count > 1").select("digest"), "shared-digests")
+    marks = ids.join(counts, "digest").select(bucket.alias("bucket"), F.lit(0).alias("guard"), "sid", F.lit(0).alias("kind"), F.lit(None).cast("long").alias("doc_id"), F.lit(None).cast("binary").alias("packed"))
+    dealt = rows.unionByName(marks).repartition(partitions(spark), "bucket").sortWithinPartitions("bucket", "guard", "sid", "kind", "packed")
 
     schema = "doc_id long, sid long, n_chars long, edited_sha256 string, digest string, edited_fingerprint string, near_edited double, near_next double, same_as long, canon binary"
     result = written(dealt.mapInArrow(_successors(digest_bits), schema), "fingerprints")
@@ -104,6 +116,7 @@ def _successors(bits: int):
     schema = pa.schema([("doc_id", pa.int64()), ("sid", pa.int64()), ("n_chars", pa.int64()), ("edited_sha256", pa.string()), ("digest", pa.string()), ("edited_fingerprint", pa.string()), ("near_edited", pa.float64()), ("near_next", pa.float64()), ("same_as", pa.int64()), ("canon", pa.binary())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        unpack = zstandard.ZstdDecompressor().decompress
         kept: dict[str, tuple[int, bytes]] = {}
         kept_bytes = 0
         shared = None  # the id that a mark has announced
@@ -135,12 +148,13 @@ def _successors(bits: int):
         for batch in batches:
             for part in slices(iter((batch,))):
                 out = []
-                for bucket, guard, sid, kind, doc_id, raw in zip(part["bucket"].to_pylist(), part["guard"].to_pylist(), part["sid"].to_pylist(), part["kind"].to_pylist(), part["doc_id"].to_pylist(), texts(part["text"]), strict=True):
+                for bucket, guard, sid, kind, doc_id, packed in zip(*[part[c].to_pylist() for c in ("bucket", "guard", "sid", "kind", "doc_id", "packed")], strict=True):
                     if kind == 0:
                         shared = sid
                         continue
                     if guard and bucket == done:
                         continue
+                    raw = unpack(packed)
                     text, canon = raw.decode("utf-8", "replace"), canonical(raw)
                     if held is not None and held[0] == bucket:
                         out.append(row(held, text, canon))

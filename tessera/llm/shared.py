@@ -72,19 +72,6 @@ def range_bucket(column: Column, bounds: np.ndarray) -> Column:
     return F.pandas_udf(find, "int")(column)
 
 
-def listed(column: Column, places: dict[int, int]) -> Column:
-    """What `places` has for a long, else -1. For dicts with one entry for each range."""
-    keys = np.asarray(sorted(places), dtype="int64")
-    found = np.asarray([places[k] for k in keys.tolist()], dtype="int32")
-
-    def find(values: pd.Series) -> pd.Series:
-        wanted = values.to_numpy("int64")
-        at = np.minimum(np.searchsorted(keys, wanted), len(keys) - 1) if len(keys) else np.zeros(len(wanted), dtype=int)
-        return pd.Series(np.where(keys[at] == wanted, found[at], -1).astype("int32") if len(keys) else np.full(len(wanted), -1, dtype="int32"))
-
-    return F.pandas_udf(find, "int")(column)
-
-
 def texts(column: pa.ChunkedArray | pa.Array) -> list[bytes]:
     """A batch's strings as UTF-8 bytes; null as empty."""
     return [x or b"" for x in column.cast(pa.binary()).to_pylist()]
