@@ -31,10 +31,11 @@ from itertools import chain
 import numpy as np
 import pyarrow as pa
 import xxhash
+import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm.shared import NULL_ID, id_or_last, partitions
+from tessera.llm.shared import NULL_ID, arrow_map, id_or_last, partitions, texts
 
 #: A perfect difference cover: every remainder modulo PERIOD is a difference of two of its members.
 PERIOD, COVER = 7, (0, 1, 3)
@@ -116,7 +117,8 @@ WINDOW = np.dtype([("high", "<u8"), ("low", "<u4"), ("doc", "<i8"), ("number", "
 
 def _read(table: pa.Table) -> list[tuple[int, bytes]]:
     """A group's documents by ascending id."""
-    return sorted(zip(table["sid"].to_pylist(), (t or b"" for t in table["raw"].to_pylist()), strict=True))
+    unpack = zstandard.ZstdDecompressor().decompress
+    return sorted(zip(table["sid"].to_pylist(), map(unpack, table["packed"].to_pylist()), strict=True))
 
 
 def _by_hash(high: np.ndarray, low: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -194,11 +196,17 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     anchor = window - PERIOD + 1
 
     sid = id_or_last(id_col)
-    dealt = docs.select(F.pmod(F.xxhash64(sid), F.lit(groups)).cast("int").alias("grp"), sid.alias("sid"), F.col(text_col).cast("binary").alias("raw")).repartition(ranges, "grp")
+    source = docs.select(F.pmod(F.xxhash64(sid), F.lit(groups)).cast("int").alias("grp"), sid.alias("sid"), F.col(text_col).alias("text"))
+
+    def pack(batch: pa.RecordBatch) -> dict:
+        squeeze = zstandard.ZstdCompressor(level=1).compress
+        return {"grp": batch["grp"], "sid": batch["sid"], "packed": [squeeze(t) for t in texts(batch["text"])]}
+
+    dealt = arrow_map(source, "grp int, sid long, packed binary", pack).repartition(ranges, "grp")
 
     def ask(table: pa.Table) -> pa.Table:
         each = []
-        for run in _some([t or b"" for t in table["raw"].to_pylist()]):
+        for run in _some([t for _, t in _read(table)]):
             words = _Words(run)
             each.append(np.unique(words.hashes(words.anchors(anchor), anchor)))
         distinct = np.unique(np.concatenate(each))
@@ -215,9 +223,9 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
         shared[order] = np.repeat(sizes > 1, sizes)
         return _replies(table, shared, _pack48(every[shared]), 6, [len(p) // 6 for p in packets])
 
-    def candidates(texts: list[bytes], answers: pa.Table) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    def candidates(raws: list[bytes], answers: pa.Table) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Windows around an anchor that another text has: their text's number, their start in it, their hash."""
-        runs = [_Words(run) for run in _some(texts)]
+        runs = [_Words(run) for run in _some(raws)]
         at = [w.anchors(anchor) for w in runs]
         every = np.concatenate([w.hashes(a, anchor) for w, a in zip(runs, at, strict=True)])
         first = np.cumsum([0, *[w.n for w in runs]]).tolist()
@@ -246,11 +254,11 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     def ask_windows(key: tuple, left: pa.Table, right: pa.Table) -> pa.Table:
         if not left.num_rows:
             return _table([])
-        texts = _read(left)
-        text, place, wide = candidates([t for _, t in texts], right)
+        docs = _read(left)
+        text, place, wide = candidates([t for _, t in docs], right)
         if not len(wide):
             return _table([])
-        doc = np.array([sid_ for sid_, _ in texts], "int64")[text]
+        doc = np.array([sid_ for sid_, _ in docs], "int64")[text]
         high, low = wide["high"].astype("<u8"), wide["low"].astype("<u4")
         order, new = _by_hash(high, low)
         # Windows are numbered by ascending id, so the first of a hash decides for the others.
@@ -283,8 +291,8 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     def finish(key: tuple, left: pa.Table, right: pa.Table) -> pa.Table:
         if not left.num_rows:
             return DONE.empty_table()
-        texts = _read(left)
-        cuts, place = np.zeros(len(texts) + 1, "int64"), np.empty(0, "int64")
+        docs = _read(left)
+        cuts, place = np.zeros(len(docs) + 1, "int64"), np.empty(0, "int64")
         beaten = np.empty(0, bool)
         replies = list(zip(right["note"].to_pylist(), right["packet"].to_pylist(), strict=True))
         if notes := [p for note, p in replies if note]:
@@ -292,9 +300,9 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
             for _, packet in (r for r in replies if not r[0]):
                 beaten[np.frombuffer(packet, "<u4")] = True
             beaten[twins[:, 0]] |= beaten[twins[:, 1]]
-            cuts = np.searchsorted(doc, np.arange(len(texts) + 1))
+            cuts = np.searchsorted(doc, np.arange(len(docs) + 1))
         out: list[list] = [[], [], [], [], []]
-        for (sid_, raw), a, b in zip(texts, cuts.tolist(), cuts[1:].tolist(), strict=False):
+        for (sid_, raw), a, b in zip(docs, cuts.tolist(), cuts[1:].tolist(), strict=False):
             words, gone, removed = raw.split(), place[a:b][beaten[a:b]], 0
             if len(gone):
                 depth = np.zeros(len(words) + 1, "int64")
