@@ -1,6 +1,10 @@
 """A training corpus from the documents table: five stages, each written as Parquet and read by the next.
 
-Each stage takes (spark, docs, sf_dir) and works on all that the one before kept.
+Each stage takes (spark, docs, sf_dir) and works on all that the one before kept. All but the last return the columns
+of docs, also such as documents lacks. Null and empty texts are documents: the classifier judges their statistics,
+they are near-duplicates of each other, hold no benchmark item, and the mix, which deals in words, never takes them.
+Rows with null or equal ids are judged each by their own text; the mix may repeat a row up to three times. An empty
+table passes through empty.
 """
 
 from __future__ import annotations

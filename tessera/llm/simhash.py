@@ -181,30 +181,37 @@ def fingerprint_links(values: DataFrame, radius: int = 4, chunk: int = 8192) ->
     return dealt.mapInArrow(_links(radius), "a long, b long").distinct()
 
 
-def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 4, radius: int = 4, chunk: int = 8192) -> DataFrame:
-    """One row for each document: doc_id, fingerprint (16 hex digits), component_id (the smallest id reachable)."""
-    source = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
+def _classes(docs: DataFrame, id_col: str, text_col: str, words: int, radius: int, chunk: int) -> tuple[DataFrame, DataFrame]:
+    """Tables: each row's doc_id, a hash of its text (mark) and fingerprint fp; each distinct fp with its first id and
+    its component, which is named by its smallest fp."""
+    source = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.xxhash64(text_col).alias("mark"), F.col(text_col).alias("text"))
 
     def sign(batch: pa.RecordBatch) -> dict:
         values = np.array([simhash(t, words) for t in texts(batch["text"])], dtype="<u8")
-        return {"doc_id": batch["doc_id"], "fp": values.view("int64")}
+        return {"doc_id": batch["doc_id"], "mark": batch["mark"], "fp": values.view("int64")}
 
-    signed = written(arrow_map(source, "doc_id long, fp long", sign), "simhashes")
+    signed = written(arrow_map(source, "doc_id long, mark long, fp long", sign), "simhashes")
     firsts = signed.groupBy("fp").agg(F.min(id_or_last("doc_id")).alias("first"))
     linked = components(fingerprint_links(firsts.select("fp"), radius, chunk))
-    least = firsts.join(linked, firsts["fp"] == linked["node"], "left").select("fp", "first", F.coalesce("component", "fp").alias("component"))
-    least = written(least, "simhash-classes")
-    smallest = least.groupBy("component").agg(F.min("first").alias("component_id"))
-    classes = least.join(smallest, "component").select("fp", "component_id")
-    known = F.when(F.col("component_id") < NULL_ID, F.col("component_id"))
-    return signed.join(classes, "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), known.alias("component_id"))
+    classes = firsts.join(linked, firsts["fp"] == linked["node"], "left").select("fp", "first", F.coalesce("component", "fp").alias("component"))
+    return signed, written(classes, "simhash-classes")
 
 
-def one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
-    """The document with the smallest id of each component, with all its columns; of rows with that id (equal
-    ids, or none) one whose text has the component's fingerprint."""
-    signed = near_duplicates(docs, id_col, text_col, **options)
-    groups = signed.groupBy(F.coalesce("component_id", F.lit(NULL_ID)).alias("component"), F.when(F.col("component_id").isNull(), F.col("fingerprint")).alias("own")).agg(F.count("*").alias("n"))
-    keep = groups.select(F.col("component").alias("__keep")).distinct()
-    kept = docs.withColumn("__sid", id_or_last(id_col)).join(keep, F.col("__sid") == F.col("__keep"), "left_semi")
-    return kept.dropDuplicates(["__sid"]).drop("__sid")
+def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 4, radius: int = 4, chunk: int = 8192) -> DataFrame:
+    """One row for each document: doc_id, fingerprint (16 hex digits), component_id (the smallest id reachable)."""
+    signed, classes = _classes(docs, id_col, text_col, words, radius, chunk)
+    smallest = classes.groupBy("component").agg(F.min("first").alias("component_id"))
+    named = classes.join(smallest, "component").select("fp", "component_id")
+    known = F.when(F.col("component_id") < NULL_ID, F.col("component_id"))
+    return signed.join(named, "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), known.alias("component_id"))
+
+
+def one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 4, radius: int = 4, chunk: int = 8192) -> DataFrame:
+    """One document of each component, with all its columns: the one with the smallest id. Of rows with equal ids (or
+    none) in a component, the one whose text has the smallest hash; different components never cost each other a row."""
+    signed, classes = _classes(docs, id_col, text_col, words, radius, chunk)
+    member = signed.join(classes.select("fp", "component"), "fp").select("component", F.struct(id_or_last("doc_id").alias("sid"), "mark").alias("row"))
+    keep = member.groupBy("component").agg(F.min("row").alias("row")).select(F.col("row.sid").alias("__keep"), F.col("row.mark").alias("__text"))
+    named = docs.withColumns({"__sid": id_or_last(id_col), "__mark": F.xxhash64(text_col)})
+    kept = named.join(keep, (F.col("__sid") == F.col("__keep")) & (F.col("__mark") == F.col("__text")), "left_semi")
+    return kept.dropDuplicates(["__sid", "__mark"]).drop("__sid", "__mark")
