@@ -33,6 +33,8 @@ from tessera.llm.shared import NULL_ID, id_or_last, partitions, range_bounds, ra
 
 #: How many pieces a Python worker remembers; past that it learns others for the batch at hand only.
 PIECES = 1_000_000
+#: Characters that are neither letters nor numbers, and a bound below which every version of Unicode knows letters.
+MARKS, OLD_LETTERS = "!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~", "\u0600"
 #: White space other than spaces and line ends.
 OTHER_SPACE = "\t\r\x0b\x0c\x1c\x1d\x1e\x1f\x85\xa0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009\u200a\u2028\u2029\u202f\u205f\u3000"
 
@@ -57,7 +59,6 @@ class Encoder:
 
         self.tokenizer, self.dtype = Tokenizer.from_file(tokenizer_path), np.dtype(dtype)
         self.line_end = self.tokenizer.encode("a\nb", add_special_tokens=False).ids[1]
-        self.marks = {m: self._whole([m])[0] for m in ",."}
         self.known: dict[str, bytes] = {"": b"", "\n": np.array([self.line_end], self.dtype).tobytes()}
 
     @classmethod
@@ -77,25 +78,29 @@ class Encoder:
         for some in pieces:
             if some is not None:
                 new.update(set(some).difference(known))
-        self._learn(list(new))
+        learned = self._learn(list(new))
         done = [next(whole) if p is None else b"".join(itemgetter(*p)(known))[size:-size] for p in pieces]
         if len(known) > PIECES:
-            for p in new:
-                known.pop(p, None)
+            for p in learned:
+                del known[p]
         return done
 
-    def _learn(self, new: list[str], at_once: int = 200) -> None:
-        """Encode pieces, many as one text with each on a line of its own; of those that are letters and one mark
-        only the letters, which no byte-level pre-tokenizer joins with the mark."""
-        known, marks = self.known, self.marks
-        marked = [p for p in new if p[-1] in marks and p[:-1].isalpha()]
-        if marked:
-            new = [p for p in new if not (p[-1] in marks and p[:-1].isalpha())]
-            new += {p[:-1] for p in marked}.difference(known, new)
-        parts = [new[at : at + at_once] for at in range(0, len(new), at_once)]
+    def _learn(self, new: list[str], at_once: int = 200) -> list[str]:
+        """Encode pieces, many as one text with each on a line of its own, and return what is known now. Of letters
+        with marks after them the two are learned apart, since no byte-level pre-tokenizer joins them."""
+        known, size = self.known, self.dtype.itemsize
+        whole, apart = [], []
+        for p in new:
+            letters = p.rstrip(MARKS)
+            tested = letters[1:] if letters[:1] == "\n" else letters
+            if len(letters) < len(p) and tested.isalpha() and max(tested) < OLD_LETTERS:
+                apart.append((p, letters, "\n" + p[len(letters) :]))
+            else:
+                whole.append(p)
+        whole += {part for _, *both in apart for part in both}.difference(known, whole)
+        parts = [whole[at : at + at_once] for at in range(0, len(whole), at_once)]
         lines = ["".join([p if p[0] == "\n" else "\n " + p for p in part]) for part in parts]
         coded = self.tokenizer.encode_batch_fast(lines, add_special_tokens=False)
-        size = self.dtype.itemsize
         for part, code in zip(parts, coded, strict=True):
             ids = np.array(code.ids, dtype=self.dtype)
             starts = np.flatnonzero(ids == self.line_end)
@@ -105,7 +110,8 @@ class Encoder:
             cuts = (starts * size).tolist()
             ends = [*cuts[1:], len(raw)]
             known.update({p: raw[a if p[0] == "\n" else a + size : b] for p, a, b in zip(part, cuts, ends, strict=True)})
-        known.update({p: known[p[:-1]] + marks[p[-1]] for p in marked})
+        known.update({p: known[letters] + known[marks][size:] for p, letters, marks in apart})
+        return [*whole, *[p for p, _, _ in apart]]
 
     def _whole(self, texts: list[str]) -> list[bytes]:
         done = self.tokenizer.encode_batch(texts, add_special_tokens=False) if texts else []

@@ -231,14 +231,20 @@ def test_tokens(spark, tmp_path):
     assert read == stream
 
 
-def test_encoder_matches_whole_texts():
+@pytest.mark.parametrize("most", [10, 1_000_000])
+def test_encoder_matches_whole_texts(monkeypatch, most):
     import random
 
+    monkeypatch.setattr(token_files, "PIECES", most)
     rng = random.Random(2)
     encode = token_files.Encoder(registry.tokenizer_path(), "<u2")
-    texts = ["".join(rng.choice("ab1 '\n\t .!s é  |\u00a0") for _ in range(rng.randint(0, 30))) for _ in range(3000)]
-    whole = encode.tokenizer.encode_batch(texts, add_special_tokens=False)
-    assert [np.frombuffer(x, "<u2").tolist() for x in encode(texts)] == [w.ids for w in whole]
+    pieces = [*"ab1 '\n\t .!s é  |\u00a0,", "word", "don't", "***", " x%%%", "\nÉté,", "'ll", "\u0600", "ß!?", "Ⅷ.", "_"]
+    texts = ["".join(rng.choice(pieces) for _ in range(rng.randint(0, 30))) for _ in range(6000)]
+    for at in range(0, len(texts), 500):
+        whole = encode.tokenizer.encode_batch(texts[at : at + 500], add_special_tokens=False)
+        assert [np.frombuffer(x, "<u2").tolist() for x in encode(texts[at : at + 500])] == [w.ids for w in whole]
+    if most == 10:
+        assert len(encode.known) <= 2 + most
 
 
 def brute_targets(sizes, weights=(1, 2, 3)):
