@@ -5,7 +5,7 @@ from __future__ import annotations
 
 from typing import Any
 
-from tessera.functions.build import always_false, always_true, always_unknown, coalesce, col, corr, count_records, greatest, least, lit, median, native, now, quantile, t_col, today, when
+from tessera.functions.build import always_false, always_true, always_unknown, between_last, coalesce, col, corr, count_records, greatest, least, lit, median, native, now, older_than, quantile, t_col, today, when, within_last
 from tessera.functions.dtypes import UniversalType, is_safe_cast, normalize_type, resolve_dtype
 from tessera.functions.expr import Expr
 from tessera.operators.relation import GroupedRelation, Relation, RelationDAGRequired, concat, relation
@@ -30,5 +30,5 @@ def conform(source: dict | TypeSpec) -> ConformBuilder:
 
 __all__ = [
     "ConformBuilder", "DataPackage", "DataResource", "Expr", "FieldConstraints", "FieldSpec", "GroupedRelation", "MissingResourceSchema", "Relation", "RelationDAG", "RelationDAGRequired", "ResourceRef", "TableDialect", "TypeSpec", "UniversalType", "UnsupportedResourceFormat",
-    "always_false", "always_true", "always_unknown", "coalesce", "col", "compare_specs", "compile_conform", "concat", "conform", "corr", "count_records", "greatest", "is_safe_cast", "least", "lit", "median", "native", "normalize_type", "now", "quantile", "relation", "resolve_dtype", "t_col", "today", "typespec", "validate_match", "when",
+    "always_false", "always_true", "always_unknown", "between_last", "coalesce", "col", "compare_specs", "compile_conform", "concat", "conform", "corr", "count_records", "greatest", "is_safe_cast", "least", "lit", "median", "native", "normalize_type", "now", "older_than", "quantile", "relation", "resolve_dtype", "t_col", "today", "typespec", "validate_match", "when", "within_last",
 ]

@@ -7,6 +7,7 @@ SQL). Floats are rounded on both sides, since engines sum in different orders.
 from __future__ import annotations
 
 import datetime
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -14,6 +15,8 @@ from pyspark.sql import functions as F
 
 import tessera as te
 from tessera import Expr, Relation, col, lit, relation, t_col, when
+from tessera.sources.storage import shared_folder
+from tessera.streaming import read_stream, run_available
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -749,13 +752,8 @@ def pydata_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("SELECT event_type, count(*) AS n FROM events WHERE value > 50 GROUP BY 1")
 def streaming_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The same steps over a stream: rows that pass are written as they arrive, then counted."""
-    import uuid
-
-    from tessera.streaming import read_stream, run_available
-
     schema = spark.read.parquet(f"{sf_dir}/events.parquet").schema
-    folder = spark.conf.get("spark.checkpoint.dir", None) or "/tmp/checkpoints/tessera"
-    path = f"{folder}/stream-{uuid.uuid4().hex}"
+    path = f"{shared_folder(spark)}/stream-{uuid.uuid4().hex}"
     stream = read_stream(spark, sf_dir, schema, pathGlobFilter="events.parquet").filter(col("value") > 50).select("event_type")
     run_available(stream, f"{path}/out", f"{path}/state")
     return relation(spark.read.parquet(f"{path}/out")).group_by("event_type").agg(te.count_records().alias("n")).compile()

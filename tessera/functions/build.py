@@ -122,3 +122,15 @@ class Then:
 
 def when(condition: Any) -> When:
     return When(condition)
+
+
+def within_last(column: Expr, duration: str) -> Expr:
+    return column.dt.within_last(duration)
+
+
+def older_than(column: Expr, duration: str) -> Expr:
+    return column.dt.older_than(duration)
+
+
+def between_last(column: Expr, older: str, newer: str) -> Expr:
+    return column.dt.between_last(older, newer)

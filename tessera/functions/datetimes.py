@@ -18,9 +18,18 @@ from tessera.functions.nulls import literal
 EPOCH = datetime.datetime(1970, 1, 1)
 MONDAY = datetime.datetime(1969, 12, 29)
 #: Format codes of strftime and the patterns that Spark has for them.
-CODES = {"Y": "yyyy", "y": "yy", "m": "MM", "d": "dd", "H": "HH", "I": "hh", "M": "mm", "S": "ss", "f": "SSSSSS", "j": "DDD", "b": "MMM", "B": "MMMM", "a": "EEE", "A": "EEEE", "p": "a", "F": "yyyy-MM-dd", "T": "HH:mm:ss", "D": "MM/dd/yy", "R": "HH:mm", "z": "xx", "Z": "zzz", "n": "\n", "t": "\t", "%": "%"}
+CODES = {
+    "Y": "yyyy", "y": "yy", "m": "MM", "d": "dd", "H": "HH", "I": "hh", "M": "mm", "S": "ss", "f": "SSSSSS",
+    "j": "DDD", "b": "MMM", "B": "MMMM", "a": "EEE", "A": "EEEE", "p": "a", "F": "yyyy-MM-dd", "T": "HH:mm:ss",
+    "D": "MM/dd/yy", "R": "HH:mm", "z": "xx", "Z": "zzz", "n": "\n", "t": "\t", "%": "%",
+}
 CALENDAR = {"months": 1, "quarters": 3, "years": 12}
-PARTS = {"YEAR": "year", "MONTH": "month", "DAY": "day", "HOUR": "hour", "MINUTE": "minute", "SECOND": "second", "MILLISECOND": "millisecond", "MICROSECOND": "microsecond", "NANOSECOND": "nanosecond", "QUARTER": "quarter", "DAY_OF_YEAR": "day_of_year", "WEEKDAY": "day_of_week", "WEEK": "week_of_year", "ISO_YEAR": "iso_year", "UNIX_TIME": "unix_timestamp", "TIMEZONE_OFFSET": "timezone_offset"}
+PARTS = {
+    "YEAR": "year", "MONTH": "month", "DAY": "day", "HOUR": "hour", "MINUTE": "minute", "SECOND": "second",
+    "MILLISECOND": "millisecond", "MICROSECOND": "microsecond", "NANOSECOND": "nanosecond", "QUARTER": "quarter",
+    "DAY_OF_YEAR": "day_of_year", "WEEKDAY": "day_of_week", "WEEK": "week_of_year", "ISO_YEAR": "iso_year",
+    "UNIX_TIME": "unix_timestamp", "TIMEZONE_OFFSET": "timezone_offset",
+}
 
 
 def java_pattern(format: str) -> str:

@@ -112,8 +112,19 @@ _SPARK_UNIVERSAL = (
     ((T.ArrayType,), U.ARRAY),
     ((T.StructType, T.MapType), U.OBJECT),
 )
-_PYTHON_UNIVERSAL = {str: U.STRING, bytes: U.STRING, int: U.INTEGER, float: U.NUMBER, decimal.Decimal: U.NUMBER, bool: U.BOOLEAN, list: U.ARRAY, tuple: U.ARRAY, set: U.ARRAY, dict: U.OBJECT, datetime.date: U.DATE, datetime.time: U.TIME, datetime.datetime: U.DATETIME, datetime.timedelta: U.DURATION, object: U.ANY}
-_NAMED = {"str": U.STRING, "utf8": U.STRING, "large_string": U.STRING, "object": U.STRING, "category": U.STRING, "int": U.INTEGER, "bigint": U.INTEGER, "smallint": U.INTEGER, "tinyint": U.INTEGER, "long": U.INTEGER, "float": U.NUMBER, "double": U.NUMBER, "decimal": U.NUMBER, "halffloat": U.NUMBER, "bool": U.BOOLEAN, "boolean": U.BOOLEAN, "date32": U.DATE, "date64": U.DATE, "timestamp": U.DATETIME, "timestamp_ntz": U.DATETIME, "datetime64": U.DATETIME, "time32": U.TIME, "time64": U.TIME, "timedelta64": U.DURATION, "interval": U.DURATION, "list": U.ARRAY, "struct": U.OBJECT, "map": U.OBJECT, "dict": U.OBJECT}
+_PYTHON_UNIVERSAL = {
+    str: U.STRING, bytes: U.STRING, int: U.INTEGER, float: U.NUMBER, decimal.Decimal: U.NUMBER, bool: U.BOOLEAN,
+    list: U.ARRAY, tuple: U.ARRAY, set: U.ARRAY, dict: U.OBJECT, datetime.date: U.DATE, datetime.time: U.TIME,
+    datetime.datetime: U.DATETIME, datetime.timedelta: U.DURATION, object: U.ANY,
+}
+_NAMED = {
+    "str": U.STRING, "utf8": U.STRING, "large_string": U.STRING, "object": U.STRING, "category": U.STRING,
+    "int": U.INTEGER, "bigint": U.INTEGER, "smallint": U.INTEGER, "tinyint": U.INTEGER, "long": U.INTEGER,
+    "float": U.NUMBER, "double": U.NUMBER, "decimal": U.NUMBER, "halffloat": U.NUMBER, "bool": U.BOOLEAN,
+    "boolean": U.BOOLEAN, "date32": U.DATE, "date64": U.DATE, "timestamp": U.DATETIME, "timestamp_ntz": U.DATETIME,
+    "datetime64": U.DATETIME, "time32": U.TIME, "time64": U.TIME, "timedelta64": U.DURATION, "interval": U.DURATION,
+    "list": U.ARRAY, "struct": U.OBJECT, "map": U.OBJECT, "dict": U.OBJECT,
+}
 
 
 def bridge_type(universal: UniversalType) -> str:

@@ -25,7 +25,18 @@ BOOLEANIZERS = ("is_true", "is_false", "is_unknown", "is_known", "maybe_true", "
 class Expr:
     """An expression; build one with col(), lit(), t_col(), native() or when()."""
 
-    def __init__(self, column: Column, *, kind: str = "value", unknown: frozenset | None = None, leaf: str | None = None, window: str | None = None, named: str | None = None):
+    def __init__(
+        self,
+        column: Column,
+        *,
+        kind: str = "value",
+        unknown: frozenset | None = None,
+        leaf: str | None = None,
+        window: str | None = None,
+        named: str | None = None,
+    ):
+        """kind: value, boolean or ternary. unknown: values of a column that count as unknown. window: "needed" for a
+        window function without its window, "whole" for one that by default sees the whole partition."""
         self.column, self.kind, self.unknown, self.leaf, self.window, self.named = column, kind, unknown, leaf, window, named
 
     # ---- building blocks
@@ -47,7 +58,7 @@ class Expr:
 
     def compile(self, booleanizer: str | Callable[[Expr], Expr] | None = "is_true") -> Column:
         """The Spark Column. Three-valued results become boolean by `booleanizer`; None keeps -1, 0, 1."""
-        if self.window == "needed":
+        if self.window is not None:
             raise ValueError("this function needs a window: call .over(...)")
         out = self
         if self.kind == "ternary" and booleanizer is not None:
@@ -540,13 +551,13 @@ class Expr:
         return self._with(F.lag(self.column, offset, _plain(default)), window="needed")
 
     def first_value(self) -> Expr:
-        return Expr(F.first(self.column), leaf=self.leaf, window="needed", unknown=frozenset({"framed"}))
+        return self._with(F.first(self.column), window="whole")
 
     def last_value(self) -> Expr:
-        return Expr(F.last(self.column), leaf=self.leaf, window="needed", unknown=frozenset({"framed"}))
+        return self._with(F.last(self.column), window="whole")
 
     def nth_value(self, n: int) -> Expr:
-        return Expr(F.nth_value(self.column, n), leaf=self.leaf, window="needed", unknown=frozenset({"framed"}))
+        return self._with(F.nth_value(self.column, n), window="whole")
 
     def over(self, *partition_by: Any, order_by: str | list[str] | None = None, rows_between: tuple[int | None, int | None] | None = None) -> Expr:
         """Within a window: "-name" orders descending, NULLs last. rows_between counts rows from the current one,
@@ -554,12 +565,11 @@ class Expr:
         functions have SQL's default frame, which with order_by runs up to the current row and its peers."""
         spec = Window.partitionBy(*[literal(p) if isinstance(p, Expr) else p for p in partition_by])
         if order_by is not None:
-            spec = spec.orderBy(*[sort_column(c) for c in ([order_by] if isinstance(order_by, (str_, Expr)) else order_by)])
-        whole = self.window == "needed" and self.unknown is not None
+            spec = spec.orderBy(*[sort_column(c) for c in ([order_by] if isinstance(order_by, (str, Expr)) else order_by)])
         if rows_between is not None:
             low, high = rows_between
             spec = spec.rowsBetween(Window.unboundedPreceding if low is None else low, Window.unboundedFollowing if high is None else high)
-        elif whole:
+        elif self.window == "whole":
             spec = spec.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
         return self._with(self.column.over(spec), self.kind)
 
@@ -584,9 +594,6 @@ class Expr:
         return self._bool(_predicate(other) | self.as_boolean)
 
 
-str_ = type("")
-
-
 def _math(name: str, function: Callable[[Column], Column]) -> None:
     def method(self: Expr, **_: Any) -> Expr:
         return self._with(function(self.column))
@@ -624,12 +631,12 @@ def _modulo(a: Column, b: Column) -> Column:
 def _population(distribution: str | None) -> bool:
     if distribution not in (None, "SAMPLE", "POPULATION", "sample", "population"):
         raise ValueError("distribution is SAMPLE or POPULATION")
-    return str_(distribution).upper() == "POPULATION"
+    return str(distribution).upper() == "POPULATION"
 
 
 def sort_column(by: Any, descending: bool | None = None) -> Column:
     """A sort key with NULLs last; "-name" is descending where the direction isn't given."""
-    if isinstance(by, str_) and descending is None and by.startswith("-"):
+    if isinstance(by, str) and descending is None and by.startswith("-"):
         by, descending = by[1:], True
-    column = F.col(by) if isinstance(by, str_) else literal(by)
+    column = F.col(by) if isinstance(by, str) else literal(by)
     return column.desc_nulls_last() if descending else column.asc_nulls_last()

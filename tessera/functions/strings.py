@@ -165,7 +165,17 @@ class StringMethods:
         """Whether the whole string matches."""
         return self._b(self._c.rlike(self._pattern(f"^(?:{pattern})$", case_sensitive)))
 
-    def regexp_match_substring(self, pattern: str, position: int | None = None, occurrence: int | None = None, group: int | None = None, *, case_sensitive: bool = True, multiline: bool = False, dotall: bool = False):
+    def regexp_match_substring(
+        self,
+        pattern: str,
+        position: int | None = None,
+        occurrence: int | None = None,
+        group: int | None = None,
+        *,
+        case_sensitive: bool = True,
+        multiline: bool = False,
+        dotall: bool = False,
+    ):
         """The occurrence-th match from a 1-based position, or a group of it; NULL if there is none."""
         text = F.substring(self._c, position, 2**31 - 1) if position and position > 1 else self._c
         found = F.regexp_extract_all(text, F.lit(self._pattern(pattern, case_sensitive, multiline, dotall)), F.lit(group or 0))

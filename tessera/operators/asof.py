@@ -22,7 +22,16 @@ def _number(column: Column, dtype: T.DataType) -> Column:
     return column
 
 
-def asof_join(left: DataFrame, right: DataFrame, on: str, by: list[str], strategy: str = "backward", tolerance: float | None = None, suffix: str = "_right", ranges: int = RANGES) -> DataFrame:
+def asof_join(
+    left: DataFrame,
+    right: DataFrame,
+    on: str,
+    by: list[str],
+    strategy: str = "backward",
+    tolerance: float | None = None,
+    suffix: str = "_right",
+    ranges: int = RANGES,
+) -> DataFrame:
     """Left rows, each with the columns of the nearest right row (NULLs if none).
 
     strategy: backward (right key <= left key), forward (>=) or nearest (the closer; backward on a tie). Equal
@@ -38,11 +47,13 @@ def asof_join(left: DataFrame, right: DataFrame, on: str, by: list[str], strateg
     kept = right.where(F.col(on).isNotNull())
     for b in by:
         kept = kept.where(F.col(b).isNotNull())
-    sides = [
-        left.select(*[F.col(b).alias(f"__by{i}") for i, b in enumerate(by)], _number(F.col(on), kind).alias("__key"), F.lit(1).alias("__side"), F.struct("*").alias("__left"), F.lit(None).cast(kept.select(payload.alias("p")).schema["p"].dataType).alias("__right")),
-        kept.select(*[F.col(b).alias(f"__by{i}") for i, b in enumerate(by)], _number(F.col(on), kind).alias("__key"), F.lit(0).alias("__side"), F.lit(None).cast(left.select(F.struct("*").alias("l")).schema["l"].dataType).alias("__left"), payload.alias("__right")),
-    ]
-    both = sides[0].unionByName(sides[1])
+    head = [*[F.col(b).alias(f"__by{i}") for i, b in enumerate(by)], _number(F.col(on), kind).alias("__key")]
+    row_of_left, row_of_right = F.struct("*").alias("__left"), payload.alias("__right")
+    no_left = F.lit(None).cast(left.select(row_of_left).schema[0].dataType).alias("__left")
+    no_right = F.lit(None).cast(kept.select(row_of_right).schema[0].dataType).alias("__right")
+    both = left.select(*head, F.lit(1).alias("__side"), row_of_left, no_right).unionByName(
+        kept.select(*head, F.lit(0).alias("__side"), no_left, row_of_right)
+    )
     points = [i / ranges for i in range(1, ranges)]
     cuts = sorted(set(left.select(_number(F.col(on), kind).cast("double").alias("k")).where("k is not null").approxQuantile("k", points, 0.5 / ranges)))
     index = sum([(F.col("__key").cast("double") > F.lit(c)).cast("int") for c in cuts], F.lit(0)) if cuts else F.lit(0)
@@ -57,7 +68,7 @@ def asof_join(left: DataFrame, right: DataFrame, on: str, by: list[str], strateg
 
     wanted = [s for s in ("backward", "forward") if strategy in (s, "nearest")]
     ends = ranged.where("__side = 0").groupBy(*keys, "__range").agg(*[(F.max if s == "backward" else F.min)("__right").alias(f"__end_{s}") for s in wanted])
-    every = ranged.select(*keys, "__range").distinct().join(ends, [*keys, "__range"], "left") if keys else ranged.select("__range").distinct().join(ends, "__range", "left")
+    every = ranged.select(*keys, "__range").distinct().join(ends, [*keys, "__range"], "left")
     carried = []
     for s in wanted:
         order = F.col("__range") if s == "backward" else F.col("__range").desc()

@@ -16,6 +16,8 @@ from pyspark.sql import functions as F
 from tessera.functions.expr import Expr, sort_column
 
 JOINS = {"inner": "inner", "left": "left", "right": "right", "outer": "full", "full": "full", "semi": "left_semi", "anti": "left_anti", "cross": "cross"}
+#: Columns that a pivot makes at most by itself.
+MOST_PIVOTED = 10_000
 AGGREGATES = ("first", "last", "sum", "min", "max", "mean", "avg", "median", "count", "len")
 Resolver = Callable[[str], DataFrame]
 
@@ -40,7 +42,14 @@ def _names(values: Iterable[Any]) -> list[Any]:
 class Relation:
     """Make one with relation(); methods return new relations, terminals run the plan."""
 
-    def __init__(self, plan: Callable[[Resolver], DataFrame], refs: frozenset[str] = frozenset(), order: tuple[Column, ...] = (), resource: Any = None, output_schema: Any = None):
+    def __init__(
+        self,
+        plan: Callable[[Resolver], DataFrame],
+        refs: frozenset[str] = frozenset(),
+        order: tuple[Column, ...] = (),
+        resource: Any = None,
+        output_schema: Any = None,
+    ):
         self._plan, self.refs, self._order, self.resource, self.output_schema = plan, refs, order, resource, output_schema
         self._frame: DataFrame | None = None
 
@@ -101,7 +110,8 @@ class Relation:
         if len(down) != len(keys):
             raise ValueError(f"{len(keys)} sort columns but {len(down)} directions")
         order = tuple(sort_column(k, d) for k, d in zip(keys, down, strict=True))
-        backwards = tuple((F.col(k) if isinstance(k, str) else compiled(k)).asc_nulls_first() if d else (F.col(k) if isinstance(k, str) else compiled(k)).desc_nulls_first() for k, d in zip(keys, down, strict=True))
+        columns = [F.col(k) if isinstance(k, str) else compiled(k) for k in keys]
+        backwards = tuple(c.asc_nulls_first() if d else c.desc_nulls_first() for c, d in zip(columns, down, strict=True))
         out = self._then(lambda df: df.orderBy(*order), order=order)
         out._backwards = backwards
         return out
@@ -150,7 +160,17 @@ class Relation:
 
     # ---- joins
 
-    def join(self, other: Any, *, on: Any = None, left_on: Any = None, right_on: Any = None, how: str = "inner", suffix: str = "_right", execute_on: str | None = None) -> Relation:
+    def join(
+        self,
+        other: Any,
+        *,
+        on: Any = None,
+        left_on: Any = None,
+        right_on: Any = None,
+        how: str = "inner",
+        suffix: str = "_right",
+        execute_on: str | None = None,
+    ) -> Relation:
         """Equi-join. Key columns appear once (an outer join keeps the right's with the suffix); other columns of the
         right that clash get the suffix; NULL keys don't match. execute_on="broadcast" sends the right side, whose
         size the caller answers for, to every task; left alone, Spark decides by size."""
@@ -214,10 +234,10 @@ class Relation:
             on = keys or df.columns
             if keep == "any":
                 return df.dropDuplicates(on)
-            over = Window.partitionBy(*on)
-            if keep == "none":
-                return df.withColumn("__n", F.count("*").over(over)).where("__n = 1").drop("__n")
-            first = over.orderBy(*(order if keep == "first" else backwards))
+            if keep == "none":  # counted before the shuffle, so a frequent key stays small
+                held = df.groupBy(*on).agg(F.count("*").alias("__n"), F.first(F.struct(F.lit(0).alias("__"), *[c for c in df.columns if c not in on])).alias("__row"))
+                return held.where("__n = 1").select(*[F.col(f"`{c}`") if c in on else F.col(f"__row.`{c}`").alias(c) for c in df.columns])
+            first = Window.partitionBy(*on).orderBy(*(order if keep == "first" else backwards))
             return df.withColumn("__n", F.row_number().over(first)).where("__n = 1").drop("__n")
 
         return self._then(step)
@@ -276,7 +296,11 @@ class Relation:
 
         def step(df: DataFrame) -> DataFrame:
             columns = _names([values])
-            found = on_values if on_values is not None else [r[0] for r in df.select(on).where(F.col(on).isNotNull()).distinct().orderBy(on).collect()]
+            found = on_values
+            if found is None:
+                found = [r[0] for r in df.select(on).where(F.col(on).isNotNull()).distinct().orderBy(on).limit(MOST_PIVOTED + 1).collect()]
+                if len(found) > MOST_PIVOTED:
+                    raise ValueError(f"{on!r} has more than {MOST_PIVOTED} values; name those wanted in on_values")
             measures = [function(c).alias(c) for c in columns]
             return df.groupBy(*_names([index])).pivot(on, found).agg(*measures)
 

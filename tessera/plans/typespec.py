@@ -20,7 +20,10 @@ from tessera.functions.dtypes import UNIVERSAL_TO_SPARK, UniversalType, normaliz
 #: Where a Table Schema descriptor keeps what its standard has no place for; on reading, any x- key serves.
 EXTENSION = "x-tessera"
 #: attribute -> key of the descriptor
-_CONSTRAINTS = {"required": "required", "unique": "unique", "minimum": "minimum", "maximum": "maximum", "min_length": "minLength", "max_length": "maxLength", "pattern": "pattern", "enum": "enum"}
+_CONSTRAINTS = {
+    "required": "required", "unique": "unique", "minimum": "minimum", "maximum": "maximum", "min_length": "minLength",
+    "max_length": "maxLength", "pattern": "pattern", "enum": "enum",
+}
 _FIELD_KEYS = {"title": "title", "description": "description", "missing_values": "missingValues", "categories": "categories", "true_values": "trueValues", "false_values": "falseValues"}
 _FIELD_EXTRAS = ("rename_from", "null_fill", "custom_cast", "backend_type")
 _SPEC_KEYS = {"title": "title", "description": "description", "primary_key": "primaryKey", "fields_match": "fieldsMatch", "unique_keys": "uniqueKeys"}
@@ -151,7 +154,11 @@ def to_arrow_schema(spec: TypeSpec) -> Any:
     return convert(to_struct_type(spec))
 
 
-_PANDAS = {UniversalType.INTEGER: "Int64", UniversalType.YEAR: "Int64", UniversalType.NUMBER: "float64", UniversalType.BOOLEAN: "boolean", UniversalType.DATE: "datetime64[ns]", UniversalType.DATETIME: "datetime64[ns]", UniversalType.DURATION: "timedelta64[ns]", UniversalType.STRING: "string"}
+_PANDAS = {
+    UniversalType.INTEGER: "Int64", UniversalType.YEAR: "Int64", UniversalType.NUMBER: "float64",
+    UniversalType.BOOLEAN: "boolean", UniversalType.DATE: "datetime64[ns]", UniversalType.DATETIME: "datetime64[ns]",
+    UniversalType.DURATION: "timedelta64[ns]", UniversalType.STRING: "string",
+}
 
 
 def to_pandas_dtypes(spec: TypeSpec) -> dict[str, str]:

@@ -48,7 +48,18 @@ def to_list_of_named_tuples(data: Any) -> list[tuple]:
     return [make(*r) for r in df.collect()]
 
 
-_PYTHON = ((T.BooleanType, bool), (T.IntegralType, int), (T.FractionalType, float), (T.StringType, str), (T.BinaryType, bytes), (T.DateType, datetime.date), ((T.TimestampType, T.TimestampNTZType), datetime.datetime), (T.DayTimeIntervalType, datetime.timedelta), (T.ArrayType, list), ((T.MapType, T.StructType), dict))
+_PYTHON = (
+    (T.BooleanType, bool),
+    (T.IntegralType, int),
+    (T.FractionalType, float),
+    (T.StringType, str),
+    (T.BinaryType, bytes),
+    (T.DateType, datetime.date),
+    ((T.TimestampType, T.TimestampNTZType), datetime.datetime),
+    (T.DayTimeIntervalType, datetime.timedelta),
+    (T.ArrayType, list),
+    ((T.MapType, T.StructType), dict),
+)
 
 
 def _typed(df: DataFrame, preserve_dates: bool) -> tuple[type, Callable[[Any], Any]]:

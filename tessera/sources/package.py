@@ -14,7 +14,13 @@ from tessera.operators.relation import Relation, relation
 from tessera.plans.typespec import TypeSpec, read_descriptor, typespec_to_frictionless
 from tessera.sources.readers import TABULAR, detect_format, read_resource
 
-_DIALECT = {"delimiter": "delimiter", "line_terminator": "lineTerminator", "quote_char": "quoteChar", "double_quote": "doubleQuote", "escape_char": "escapeChar", "null_sequence": "nullSequence", "skip_initial_space": "skipInitialSpace", "header": "header", "header_rows": "headerRows", "header_join": "headerJoin", "comment_char": "commentChar", "case_sensitive_header": "caseSensitiveHeader", "csvddf_version": "csvddfVersion"}
+_DIALECT = {
+    "delimiter": "delimiter", "line_terminator": "lineTerminator", "quote_char": "quoteChar",
+    "double_quote": "doubleQuote", "escape_char": "escapeChar", "null_sequence": "nullSequence",
+    "skip_initial_space": "skipInitialSpace", "header": "header", "header_rows": "headerRows",
+    "header_join": "headerJoin", "comment_char": "commentChar", "case_sensitive_header": "caseSensitiveHeader",
+    "csvddf_version": "csvddfVersion",
+}
 
 
 @dataclass

@@ -2,7 +2,10 @@
 
 import glob
 import os
+import subprocess
+import sys
 from collections import Counter
+from pathlib import Path
 
 import duckdb
 import pytest
@@ -47,3 +50,8 @@ def test_query(spark, duck, name):
 def test_entry(spark):
     assert entry.entry(spark).count() > 0
     assert set(entry.oracle_sql()) <= set(entry.queries())
+
+
+def test_entry_without_the_corpus_package():
+    code = "import sys; sys.modules['tessera.llm'] = None; import __spark_entry__ as e; assert 'pricing_summary' in e.queries() and 'pipeline' not in e.queries()"
+    subprocess.run([sys.executable, "-c", code], check=True, cwd=Path(__file__).parents[1])

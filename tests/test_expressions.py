@@ -126,6 +126,8 @@ def test_present(one):
     t = col("t")
     out = one(rows, t.within_last("1 hour"), t.older_than("1d"), t.within_next("10m"), t.between_last("3 days", "1 day"), ddl="t timestamp_ntz")
     assert out == [(True, False, False, False), (False, True, False, True), (True, False, True, False)]
+    free = one(rows, te.within_last(t, "1 hour"), te.older_than(t, "1d"), te.between_last(t, "3 days", "1 day"), ddl="t timestamp_ntz")
+    assert free == [(a, b, d) for a, b, _, d in out]
 
 
 def test_durations():
