@@ -1,0 +1,126 @@
+"""Near-duplicates by resemblance: documents whose sets of word shingles have a Jaccard similarity of 0.8 or more.
+
+Texts are lowered (A-Z) and split at ASCII white space; texts of equal words are one node. MinHash signatures (XXH64
+of each shingle, 200 multiply-shift permutations of its low half) are cut into 40 bands of 5; nodes with an equal band
+meet. A pair at similarity 0.8 shares no band with probability (1 - 0.8^5)^40 = 1.3e-7, a more similar one with less.
+Every pair that meets is verified by its sets of shingles (as 64-bit hashes), so nothing below the bound is linked.
+
+Verification takes two rounds: each band's smallest node against the others, then all pairs of a band that the links
+found so far leave in different components. A large group of near copies thus costs one comparison for each member;
+a band shared by many nodes that aren't similar costs the square of their number.
+
+Defined results: null and empty texts are one node; a text of fewer words than a shingle is one shingle; a null id
+counts as the largest; an empty table gives no rows.
+"""
+
+from __future__ import annotations
+
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
+import xxhash
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+from tessera.llm.components import components
+from tessera.llm.shared import arrow_map, id_or_last, partitions, texts, worker_memory, written
+
+BANDS, ROWS = 40, 5
+#: Into how many pieces the comparisons with one node may be dealt.
+PIECES = 16
+
+
+def permutations() -> tuple[np.ndarray, np.ndarray]:
+    """Fixed odd factors and summands modulo 2^32, one pair for each place of a signature."""
+    drawn = [xxhash.xxh64_intdigest(str(k).encode(), 7) for k in range(BANDS * ROWS)]
+    return np.array([d & 0xFFFFFFFF | 1 for d in drawn], "u4")[:, None], np.array([d >> 32 for d in drawn], "u4")[:, None]
+
+
+def shingles(text: bytes, words: int = 5) -> np.ndarray:
+    """The distinct hashes of the shingles of a text whose words stand one space apart, ascending."""
+    split = text.split(b" ")
+    if len(split) <= words:
+        return np.array([xxhash.xxh64_intdigest(text, 42)], "u8")
+    ends = np.cumsum(np.fromiter(map(len, split), "int64", len(split)) + 1) - 1
+    each, view = xxhash.xxh64_intdigest, memoryview(text)
+    hashes = [each(view[a:b], 42) for a, b in zip([0, *(ends[:-1] + 1).tolist()], ends[words - 1 :].tolist(), strict=False)]
+    return np.unique(np.array(hashes, "u8"))
+
+
+def bands(hashes: np.ndarray, factors: np.ndarray, summands: np.ndarray, at_once: int = 8) -> list[int]:
+    """The keys of a signature's bands, each a hash of its minima and its place."""
+    low, least = hashes.astype("u4")[None, :], np.empty(len(factors), "<u4")
+    for k in range(0, len(factors), at_once):
+        least[k : k + at_once] = (low * factors[k : k + at_once] + summands[k : k + at_once]).min(axis=1)
+    signed = [xxhash.xxh64_intdigest(least[ROWS * b : ROWS * (b + 1)].tobytes(), b) for b in range(BANDS)]
+    return np.array(signed, "u8").view("int64").tolist()
+
+
+def _verified(pairs: DataFrame, bodies: DataFrame, words: int, similarity: tuple[int, int]) -> DataFrame:
+    """Of pairs (a, b) of nodes, those whose similarity is at least the fraction; bodies: node, words."""
+    schema = pa.schema([("a", pa.int64()), ("b", pa.int64())])
+    over, under = similarity
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        worker_memory()
+        at, own = None, None
+        for batch in batches:
+            found: list[tuple[int, int]] = []
+            for a, b, piece, body in zip(*(batch[c].to_pylist() for c in ("a", "b", "piece")), texts(batch["words"]), strict=True):
+                hashes = shingles(body, words)
+                if b is None:
+                    at, own = (a, piece), hashes
+                    continue
+                if at != (a, piece):
+                    raise ValueError("a pair came without its first text")
+                both = len(np.intersect1d(own, hashes, assume_unique=True))
+                if both * under >= over * (len(own) + len(hashes) - both):
+                    found.append((a, b))
+            left, right = zip(*found, strict=True) if found else ((), ())
+            yield pa.RecordBatch.from_arrays([pa.array(left, pa.int64()), pa.array(right, pa.int64())], schema=schema)
+
+    dealt = pairs.withColumn("piece", F.pmod(F.xxhash64("b"), F.lit(PIECES)))
+    needed = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct()
+    held = written(bodies.join(needed, "node", "left_semi").groupBy("node").agg(F.first("words").alias("words")), "bodies")
+    firsts = dealt.select("a", "piece").distinct().join(held, F.col("a") == F.col("node")).select("a", F.lit(None).cast("long").alias("b"), "piece", "words")
+    others = dealt.join(held, F.col("b") == F.col("node")).select("a", "b", "piece", "words")
+    near = firsts.union(others).repartition(partitions(pairs.sparkSession), "a", "piece")
+    ordered = near.sortWithinPartitions("a", "piece", F.col("b").asc_nulls_first())
+    return written(ordered.mapInArrow(run, "a long, b long"), "verified")
+
+
+def one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 5, similarity: tuple[int, int] = (4, 5)) -> DataFrame:
+    """One document of each component of similar ones, with all its columns: the one with the smallest id. Of rows with
+    equal ids (or none) in a component, the one whose text has the smallest hash."""
+    source = docs.select(id_or_last(id_col).alias("sid"), F.xxhash64(text_col).alias("mark"), F.col(text_col).alias("text"))
+    drawn = permutations()
+
+    def sign(batch: pa.RecordBatch) -> dict:
+        joined = [b" ".join(t.lower().split()) for t in texts(batch["text"])]
+        nodes = np.array([xxhash.xxh64_intdigest(t, 42) for t in joined], "u8").view("int64")
+        return {"sid": batch["sid"], "mark": batch["mark"], "node": nodes, "words": joined, "bands": [bands(shingles(t, words), *drawn) for t in joined]}
+
+    signed = written(arrow_map(source, "sid long, mark long, node long, words binary, bands array<long>", sign), "signatures")
+    keyed = signed.select("node", F.explode("bands").alias("key")).distinct()
+    shared = keyed.groupBy("key").agg(F.min("node").alias("least"), F.count("*").alias("n")).where("n > 1").select("key", "least")
+    met = written(keyed.join(shared, "key").select("key", "least", "node"), "met")
+    bodies = signed.select("node", "words")
+
+    star = written(met.where("least <> node").select(F.col("least").alias("a"), F.col("node").alias("b")).distinct(), "pairs")
+    links = _verified(star, bodies, words, similarity)
+    label = components(links)
+    named = met.join(label, "node", "left").select("key", "node", F.coalesce("component", "node").alias("label"))
+    apart = named.groupBy("key").agg(F.min("label").alias("low"), F.max("label").alias("high")).where("low <> high").select("key")
+    open_ = written(named.join(apart, "key", "left_semi"), "open")
+    one, other = open_.toDF("key", "a", "label_a"), open_.toDF("key_b", "b", "label_b")
+    rest = one.join(other, (F.col("key") == F.col("key_b")) & (F.col("a") < F.col("b")) & (F.col("label_a") != F.col("label_b")))
+    more = written(rest.select("a", "b").distinct().join(star, ["a", "b"], "left_anti"), "pairs")
+    if not more.isEmpty():
+        label = components(links.union(_verified(more, bodies, words, similarity)))
+
+    member = signed.join(label, "node", "left").select(F.coalesce("component", "node").alias("component"), F.struct("sid", "mark").alias("row"))
+    keep = member.groupBy("component").agg(F.min("row").alias("row")).select(F.col("row.sid").alias("__keep"), F.col("row.mark").alias("__text"))
+    rows = docs.withColumns({"__sid": id_or_last(id_col), "__mark": F.xxhash64(text_col)})
+    kept = rows.join(keep, (F.col("__sid") == F.col("__keep")) & (F.col("__mark") == F.col("__text")), "left_semi")
+    return kept.dropDuplicates(["__sid", "__mark"]).drop("__sid", "__mark")

@@ -1,0 +1,89 @@
+"""Near-duplicates by resemblance against brute-force Jaccard similarity."""
+
+import random
+
+import corpus_pipeline
+import pytest
+from cases import documents, frame
+from test_exact import brute_simhash
+
+from tessera.llm import similar
+
+SF = "/root/testdata"
+
+
+def grams(text):
+    w = [x.decode("utf-8", "replace") for x in (text or "").encode().lower().split()]
+    return frozenset(tuple(w[i : i + 5]) for i in range(max(1, len(w) - 4)))
+
+
+def brute_kept(rows):
+    """Ids of the smallest of each component at a similarity of 0.8."""
+    sets, up = {i: grams(t) for i, t in rows}, {i: i for i, _ in rows}
+
+    def top(i):
+        while up[i] != i:
+            i = up[i]
+        return i
+
+    ids = sorted(sets)
+    for n, i in enumerate(ids):
+        for j in ids[n + 1 :]:
+            both = len(sets[i] & sets[j])
+            if 5 * both >= 4 * (len(sets[i]) + len(sets[j]) - both) and top(i) != top(j):
+                low, high = sorted((top(i), top(j)))
+                up[high] = low
+    return {i for i in ids if up[i] == i}
+
+
+def edited(rng, base, changes):
+    w = base.split()
+    for at in rng.sample(range(len(w)), changes):
+        w[at] = f"new{rng.randint(0, 10**6)}"
+    return " ".join(w)
+
+
+def test_like_brute_force_around_the_bound(spark):
+    rng = random.Random(11)
+    rows = []
+    for group in range(12):
+        base = " ".join(f"w{rng.randint(0, 500)}" for _ in range(rng.choice([40, 150, 400])))
+        rows += [base] + [edited(rng, base, max(1, len(base.split()) * k // 200)) for k in range(1, 9)]
+    rows = list(enumerate(rows))
+    kept = similar.one_of_each(spark.createDataFrame(rows, "doc_id long, text string"))
+    assert {r["doc_id"] for r in kept.collect()} == brute_kept(rows)
+
+
+def test_chain_and_common_line(spark):
+    """A chain whose ends aren't similar is one component; a long line in common links nothing by itself."""
+    rng = random.Random(3)
+    chain = [" ".join(f"c{k}" for k in range(at, at + 200)) for at in range(0, 100, 10)]
+    line = " ".join(f"l{k}" for k in range(30))
+    rows = list(enumerate(chain + [line + " " + " ".join(f"r{rng.randint(0, 10**6)}" for _ in range(20)) for _ in range(40)]))
+    kept = {r["doc_id"] for r in similar.one_of_each(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert kept == {0, *range(10, 50)} == brute_kept(rows)
+
+
+@pytest.mark.parametrize("sf", ["sf0.001", "sf0.01"])
+def test_documents(spark, sf):
+    docs = spark.read.parquet(f"{SF}/{sf}/documents.parquet")
+    rows = [(r["doc_id"], r["text"]) for r in docs.collect()]
+    kept = corpus_pipeline.similar_dedup(spark, docs, f"{SF}/{sf}")
+    assert kept.columns == docs.columns
+    assert {r["doc_id"] for r in kept.collect()} == brute_kept(rows)
+
+
+def test_fingerprints_miss_pairs_that_are_similar(spark):
+    """What the pipeline's SimHash stage leaves, as the README says: pairs at 0.8 and above beyond 4 differing bits."""
+    rows = {r["doc_id"]: r["text"] for r in spark.read.parquet(f"{SF}/sf0.001/documents.parquet").collect()}
+    assert 5 * len(grams(rows[1]) & grams(rows[177])) >= 4 * len(grams(rows[1]) | grams(rows[177]))
+    assert (brute_simhash(rows[1]) ^ brute_simhash(rows[177])).bit_count() > 4
+
+
+def test_odd_and_empty_rows(spark):
+    rows = documents() + [(None, None, None, None, None, None, None, None)] * 2
+    kept = similar.one_of_each(frame(spark, rows)).collect()
+    null_or_empty = [r for r in kept if not (r["text"] or "").split()]
+    assert len(null_or_empty) == 1
+    assert {r["doc_id"] for r in kept} == brute_kept([(r[0], r[1]) for r in rows if r[0] is not None])
+    assert similar.one_of_each(frame(spark, rows).limit(0)).count() == 0
