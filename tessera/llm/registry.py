@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.llm import contamination, fingerprints, licenses, lines, mixing, quality, simhash, substrings, token_files, urls
+from tessera.llm import contamination, fingerprints, known_licenses, licenses, lines, mixing, quality, simhash, substrings, token_files, urls
 from tessera.llm.registry_sql import SQL
 
 #: Rules of the url query: host, path, verdict.
@@ -35,7 +35,7 @@ def op2_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op3_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return licenses.scan_licenses(table(spark, sf_dir, "documents"))
+    return licenses.scan_licenses(table(spark, sf_dir, "documents"), known=known_licenses.known_licenses(spark))
 
 
 def op4_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
