@@ -40,14 +40,18 @@ def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 
 def source_mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents as often as their source's target weight asks; n_chars follows a text that is cut."""
+    """Documents as often as their source's target weight asks, written in the order of the mix's slots; n_chars follows
+    a text that is cut."""
     mixed = mixing.mixed_documents(docs)
     return mixed.withColumn("n_chars", F.char_length("text").cast("long")).select(docs.columns)
 
 
 def token_output(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Token ids as Arrow files; returned is each document's place in them, as read back."""
-    return token_files.token_index(docs, registry.tokenizer_path(), end_id=registry.END_ID)
+    """Token ids as Arrow files in the order of the rows of docs, a table of Spark's Parquet files by number; returned
+    is each document's place in them, as read back."""
+    part = F.coalesce(F.regexp_extract("_metadata.file_name", r"^part-(\d+)", 1).try_cast("long"), F.lit(0))
+    placed = docs.withColumn("__place", F.shiftleft(part, 40) + F.col("_metadata.row_index"))
+    return token_files.token_index(placed, registry.tokenizer_path(), end_id=registry.END_ID, order_col="__place")
 
 
 STAGES = [

@@ -22,7 +22,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tessera.llm.shared import written
+from tessera.llm.shared import partitions, written
 
 WORD = r"[^\x20\x09-\x0D]+"
 POINTS = 1 << 31
@@ -141,8 +141,9 @@ def taken_words(mixed: DataFrame) -> DataFrame:
 
 
 def mixed_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", weights: tuple[int, ...] = (1, 2, 3), most: int = 3, block_words: int = 1024) -> DataFrame:
-    """The mix as documents with all their columns: one row for each time that one is taken. Only the document
-    where a source's target is reached is cut, after the words that the mix takes of it."""
+    """The mix as documents with all their columns: one row for each time that one is taken, in the order of the
+    slots where they start, from partition to partition. Only the document where a source's target is reached is cut,
+    after the words that the mix takes of it."""
     columns = docs.columns
     sized = docs.select(F.struct(*columns).alias("row"), F.col(id_col).cast("string").alias("id"), F.col(source_col).alias("source"), size_of(F.col(text_col)).alias("size"))
     aims, total = _aimed(docs.select(F.col(source_col).alias("source"), size_of(F.col(text_col)).alias("size")), weights, most)
@@ -151,4 +152,8 @@ def mixed_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     slots = schedule(docs.sparkSession, aims, total, block_words).select(F.col("sid").alias("of"), F.col("block").alias("k"), "slot")
     joined = taken.join(slots, (taken["sid"] == slots["of"]) & (taken["block"] == slots["k"]))
     cut = F.when(F.col("words") < F.col("size"), F.array_join(F.slice(F.regexp_extract_all(F.col(f"row.`{text_col}`"), F.lit(f"({WORD})"), F.lit(1)), F.lit(1), F.col("words").cast("int")), " "))
-    return joined.select(*[F.coalesce(cut, F.col(f"row.`{c}`")).alias(c) if c == text_col else F.col(f"row.`{c}`").alias(c) for c in columns])
+    rows = joined.select(*[F.coalesce(cut, F.col(f"row.`{c}`")).alias(c) if c == text_col else F.col(f"row.`{c}`").alias(c) for c in columns], F.col("slot").alias("__slot"), F.col("start").alias("__start"))
+    # Slots in a row share a partition; those after the drawn ones are in the last.
+    parts, drawn = partitions(docs.sparkSession), max(-(-total // block_words), 1)
+    part = F.least(F.floor(F.col("__slot") * parts / drawn), F.lit(parts - 1)).cast("int")
+    return rows.repartitionById(parts, part).sortWithinPartitions("__slot", "__start").drop("__slot", "__start")

@@ -1,7 +1,7 @@
 """Token-ID output: Arrow IPC files whose batches are fixed-size lists, read back through a memory map.
 
-Documents are dealt into ranges of doc_id; each range becomes one file with the ranges' order, so the files in
-order hold the ids in ascending document order. A file's ids are cut into sequences of one length: columns
+Documents are dealt into ranges of doc_id (or of another order); each range becomes one file with the ranges' order, so the files in
+order hold the ids in ascending order of documents. A file's ids are cut into sequences of one length: columns
 `ids` and `mask` are fixed-size lists (mask 0 marks padding after the file's last id), batches hold equal
 numbers of sequences, and sequence k of a file lies at a place that follows from k alone. Beside it a second
 file lists its documents (doc_id, where they start, how many ids).
@@ -127,15 +127,16 @@ def _width(vocabulary: int) -> str:
     return "<u2" if vocabulary <= 1 << 16 else "<u4"
 
 
-def write_tokens(docs: DataFrame, tokenizer_path: str, folder: str | None = None, id_col: str = "doc_id", text_col: str = "text", end_id: int = 2, length: int = 2048, batch_sequences: int = 256, vocabulary: int = 50_257) -> DataFrame:
-    """Write the files; one row for each: file (their order), path, n_ids. Eager: the files exist on return."""
+def write_tokens(docs: DataFrame, tokenizer_path: str, folder: str | None = None, id_col: str = "doc_id", text_col: str = "text", end_id: int = 2, length: int = 2048, batch_sequences: int = 256, vocabulary: int = 50_257, order_col: str | None = None) -> DataFrame:
+    """Write the files; one row for each: file (their order), path, n_ids. Eager: the files exist on return.
+    order_col: a long that the documents are ordered by instead of their ids."""
     spark = docs.sparkSession
     folder = folder or f"{shared_folder(spark)}/tokens-{uuid.uuid4().hex}"
     dtype = _width(vocabulary)
-    sid = id_or_last(id_col)
-    bounds = range_bounds(docs.select(sid.alias("sid")), "sid", partitions(spark))
-    source = docs.select(sid.alias("sid"), F.col(text_col).alias("text")).withColumn("file", range_bucket(F.col("sid"), bounds))
-    dealt = source.repartition(partitions(spark), "file").sortWithinPartitions("file", "sid", "text")
+    sid, place = id_or_last(id_col), id_or_last(order_col or id_col)
+    bounds = range_bounds(docs.select(place.alias("place")), "place", partitions(spark))
+    source = docs.select(sid.alias("sid"), F.col(text_col).alias("text"), place.alias("place")).withColumn("file", range_bucket(F.col("place"), bounds))
+    dealt = source.repartition(partitions(spark), "file").sortWithinPartitions("file", "place", "sid", "text").drop("place")
     system, path = _open(folder)
     system.create_dir(path, recursive=True)
 
