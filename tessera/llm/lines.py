@@ -1,52 +1,73 @@
 """Line dedup: lines that many documents share go, but for the document with the largest id that holds one.
 
 A line's key is the line without ASCII white space at its ends, A-Z lowered. Keys of at least `min_chars` code
-points held by at least `min_docs` documents lose their lines in all other documents. Lines are exploded and
-hashed (MD5), each document counts once for a hash, counts are summed before the shuffle by hash, and the texts
-are reassembled by position next to the hashes that their document loses.
+points held by at least `min_docs` documents lose their lines in all other documents. Lines are exploded with
+their positions and hashed (XXH3-128 of the key), documents are counted distinct for each hash, with counts summed
+before the shuffle, and the texts are reassembled by position without the positions that their row loses.
 
-Defined results: null and empty texts are one empty line; a null id counts as smaller than all others; rows with
-equal ids each count as a document and are each rewritten; an empty table gives no rows.
+One pass over the texts writes them, compressed, with the positions and hashes of their long lines, under a number
+of each row's own; so a text is split twice however many lines it has, and only compressed texts cross the network.
+
+Defined results: null and empty texts are one empty line; rows with equal ids count as one document and are each
+rewritten; a row without an id counts as no document and keeps its lines; an empty table gives no rows.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+import pyarrow as pa
+import pyarrow.compute as pc
+import xxhash
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm.shared import written
+from tessera.llm.shared import arrow_map, packed, texts, unpacked, written
 
-SPACE = " \t\n\x0b\x0c\r"
-UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
-NO_ID = -(2**63)
+SPACE = b" \t\n\x0b\x0c\r"
 
 
-def line_key(line: Column) -> Column:
+def line_key(line: bytes) -> bytes:
     """The line trimmed of ASCII white space, A-Z lowered."""
-    return F.translate(F.btrim(line, F.lit(SPACE)), UPPER, LOWER)
+    return line.strip(SPACE).lower()
+
+
+def is_long(key: bytes, min_chars: int) -> bool:
+    """Whether UTF-8 holds at least so many code points."""
+    return len(key) >= min_chars and (len(key) >= 4 * min_chars or len(key.decode("utf-8", "replace")) >= min_chars)
+
+
+def long_lines(text: bytes, min_chars: int) -> tuple[list[int], list[bytes]]:
+    """Positions and hashes of the lines whose keys are long enough."""
+    keys = [(at, line_key(line)) for at, line in enumerate(text.split(b"\n")) if len(line) >= min_chars]
+    kept = [(at, xxhash.xxh3_128_digest(key)) for at, key in keys if is_long(key, min_chars)]
+    return [at for at, _ in kept], [h for _, h in kept]
 
 
 def drop_shared_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_chars: int = 40, min_docs: int = 5) -> DataFrame:
     """One row for each document: doc_id, n_lines, n_dropped, kept_text."""
-    sid = F.coalesce(F.col(id_col).cast("long"), F.lit(NO_ID))
-    source = docs.select(F.col(id_col).cast("long").alias("doc_id"), sid.alias("sid"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
-    split = F.split("text", "\n", -1)
-    keys = F.array_distinct(F.filter(F.transform(split, line_key), lambda key: F.char_length(key) >= min_chars))
-    held = source.select("sid", F.explode(keys).alias("key")).select("sid", F.unhex(F.md5("key")).alias("hash"))
-    counts = held.groupBy("hash").agg(F.count("*").alias("n"), F.max("sid").alias("keeper"))
+    source = docs.select(F.monotonically_increasing_id().alias("row"), F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
+
+    def split(batch: pa.RecordBatch) -> dict:
+        held = [long_lines(t, min_chars) for t in texts(batch["text"])]
+        return {"row": batch["row"], "doc_id": batch["doc_id"], "packed": packed(batch["text"]), "places": [p for p, _ in held], "hashes": [h for _, h in held]}
+
+    table = written(arrow_map(source, "row long, doc_id long, packed binary, places array<int>, hashes array<binary>", split), "lines")
+    exploded = table.where("doc_id is not null").select("row", "doc_id", F.explode(F.arrays_zip("places", "hashes")).alias("line"))
+    held = exploded.select("row", "doc_id", F.col("line.places").alias("place"), F.col("line.hashes").alias("hash"))
+    counts = held.groupBy("hash").agg(F.count_distinct("doc_id").alias("n"), F.max("doc_id").alias("keeper"))
     # As a table of its own it leaves Spark free to split a hash that very many documents hold.
     shared = written(counts.where(F.col("n") >= min_docs).select("hash", "keeper"), "shared-lines")
-    losing = held.join(shared, "hash").where("sid < keeper").groupBy("sid").agg(F.collect_list("hash").alias("lost"))
-    joined = source.join(losing, "sid", "left")
-
-    def stays(x: Column) -> Column:
-        key = line_key(x)
-        return ~((F.char_length(key) >= min_chars) & F.array_contains(F.col("lost"), F.unhex(F.md5(key))))
-
-    kept = F.when(F.col("lost").isNull(), split).otherwise(F.filter(split, stays))
-    return joined.select("doc_id", split.alias("was"), kept.alias("kept")).select(
-        "doc_id",
-        F.size("was").cast("long").alias("n_lines"),
-        (F.size("was") - F.size("kept")).cast("long").alias("n_dropped"),
-        F.array_join("kept", "\n").alias("kept_text"),
-    )
+    lost = held.join(shared, "hash").where("doc_id < keeper").groupBy("row").agg(F.collect_list("place").alias("lost"))
+
+    def reassemble(batch: pa.RecordBatch) -> dict:
+        sizes, kept, gone = [], [], []
+        for text, places in zip(unpacked(batch["packed"]), batch["lost"].to_pylist(), strict=True):
+            own = text.split(b"\n")
+            sizes.append(len(own))
+            gone.append(len(places or ()))
+            for at in places or ():
+                own[at] = None
+            kept.append(b"\n".join([line for line in own if line is not None]) if places else text)
+        return {"doc_id": batch["doc_id"], "n_lines": sizes, "n_dropped": gone, "kept_text": pc.cast(pa.array(kept, pa.binary()), options=pc.CastOptions(pa.string(), allow_invalid_utf8=True))}
+
+    joined = table.select("row", "doc_id", "packed").join(lost, "row", "left").select("doc_id", "packed", "lost")
+    return arrow_map(joined, "doc_id long, n_lines long, n_dropped long, kept_text string", reassemble, most=2 << 20)

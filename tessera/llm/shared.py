@@ -9,8 +9,8 @@ from types import ModuleType
 from typing import Any
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
+import zstandard
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -38,24 +38,56 @@ def id_or_last(column: str) -> Column:
     return F.coalesce(F.col(column).cast("long"), F.lit(NULL_ID))
 
 
-def range_bounds(ids: DataFrame, column: str, buckets: int) -> np.ndarray:
-    """Ascending upper bounds that cut a long column into about equal ranges.
+def range_bounds(ids: DataFrame, column: str, buckets: int, ties: bool = False) -> np.ndarray:
+    """Ascending upper bounds that cut a long column into about equal ranges; with ties, a value that fills several
+    ranges is a bound several times.
 
     What reaches the driver is one number for each bucket, from Spark's quantile sketch; where the cuts fall
     changes only how work is dealt out.
     """
     points = [i / buckets for i in range(1, buckets)]
     cuts = ids.approxQuantile(column, points, 0.2 / max(buckets, 1)) if points else []
-    return np.unique(np.clip(np.asarray(cuts, dtype="float64"), -(2.0**62), 2.0**62)).astype("int64")
+    bounds = np.sort(np.clip(np.asarray(cuts, dtype="float64"), -(2.0**62), 2.0**62).astype("int64"))
+    return bounds if ties else np.unique(bounds)
 
 
-def range_bucket(column: Column, bounds: np.ndarray) -> Column:
-    """The index of the range that holds a long, as range_bounds cut them."""
+def range_bucket(column: Column, bounds: np.ndarray, tie: Column | None = None) -> Column:
+    """The index of the range that holds a long, as range_bounds cut them: how many bounds aren't above it, by halving
+    steps over a constant array. tie: a double in 0 .. 1 that deals rows with one value, in its order, over all the
+    ranges that the value fills."""
+    if not len(bounds):
+        return F.lit(0)
+    held = F.array(*[F.lit(int(b)) for b in bounds])
+    steps = F.array(*[F.lit(1 << k) for k in reversed(range(len(bounds).bit_length()))])
 
-    def find(values: pd.Series) -> pd.Series:
-        return pd.Series(np.searchsorted(bounds, values.to_numpy("int64"), side="right").astype("int32"))
+    def count(below: Callable[[Column], Column]) -> Column:
+        def step(at: Column, more: Column) -> Column:
+            return F.when(below(F.get(held, at + more - 1)), at + more).otherwise(at)
 
-    return F.pandas_udf(find, "int")(column)
+        return F.aggregate(steps, F.lit(0), step)
+
+    high = count(lambda bound: bound <= column)
+    if tie is None:
+        return high
+    low = count(lambda bound: bound < column)
+    return low + F.least(F.floor(tie * (high - low + 1)).cast("int"), high - low)
+
+
+def hash_share(*columns: str) -> Column:
+    """A hash of the columns as a double in 0 .. 1."""
+    return F.shiftrightunsigned(F.xxhash64(*columns), 11) / F.lit(float(1 << 53))
+
+
+def packed(column: pa.Array) -> list[bytes]:
+    """A batch's strings compressed; null as empty."""
+    pack = zstandard.ZstdCompressor(level=1).compress
+    return [pack(t) for t in texts(column)]
+
+
+def unpacked(column: pa.Array) -> list[bytes]:
+    """The strings that packed() compressed."""
+    unpack = zstandard.ZstdDecompressor().decompress
+    return [unpack(x) for x in column.to_pylist()]
 
 
 def texts(column: pa.ChunkedArray | pa.Array) -> list[bytes]:
@@ -80,8 +112,8 @@ def worker_memory(owner: str = "") -> dict[Any, Any]:
     return held["memory"]
 
 
-def arrow_map(df: DataFrame, schema: str, rows: Callable[[pa.RecordBatch], dict]) -> DataFrame:
-    """mapInArrow with a function from a batch to a dict of columns."""
+def arrow_map(df: DataFrame, schema: str, rows: Callable[[pa.RecordBatch], dict], most: int = 8 << 20) -> DataFrame:
+    """mapInArrow with a function from a batch of near `most` bytes to a dict of columns."""
     from pyspark.sql.pandas.types import to_arrow_schema
     from pyspark.sql.types import StructType
 
@@ -89,7 +121,7 @@ def arrow_map(df: DataFrame, schema: str, rows: Callable[[pa.RecordBatch], dict]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         worker_memory()
-        for batch in slices(batches):
+        for batch in slices(batches, most):
             out = rows(batch)
             yield pa.RecordBatch.from_arrays([pa.array(out[f.name], type=f.type) for f in target], schema=target)
 
