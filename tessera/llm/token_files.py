@@ -1,19 +1,21 @@
 """Token-ID output: Arrow IPC files whose batches are fixed-size lists, read back through a memory map.
 
-Documents are dealt into ranges of doc_id (or of another order); each range becomes one file with the ranges' order, so the files in
-order hold the ids in ascending order of documents. A file's ids are cut into sequences of one length: columns
-`ids` and `mask` are fixed-size lists (mask 0 marks padding after the file's last id), batches hold equal
-numbers of sequences, and sequence k of a file lies at a place that follows from k alone. Beside it a second
-file lists its documents (doc_id, where they start, how many ids).
+Texts are encoded where they are read, so what crosses the network is token ids, compressed. Documents are dealt into ranges of
+doc_id (or of another order), as many as there are partitions; each range becomes one file with the ranges' order, so
+the files in order hold the ids in ascending order of documents. A file's ids are cut into sequences of one length:
+columns `ids` and `mask` are fixed-size lists (mask 0 marks padding after the file's last id), batches hold equal
+numbers of sequences, and sequence k of a file lies at a place that follows from k alone; both columns are whole bytes
+and read without a copy. Beside it a second file lists its documents (doc_id, where they start, how many ids).
 
 Both are written under a name of their own and then renamed, so a task that runs again replaces them whole.
 
-Each distinct piece between single spaces and line ends goes through the tokenizer once for each task's memory:
-byte-level BPE never merges across a lone space or line end between other characters, so pieces encode as they
-do in the whole text. Texts with any other white space go through the tokenizer whole.
+A batch's distinct pieces between single spaces and line ends go through the tokenizer once, and a worker remembers
+them up to a bound in bytes: byte-level BPE never merges across a lone space or line end between other characters, so
+pieces encode as they do in the whole text. Texts with any other white space go through the tokenizer whole.
 
 Defined results: null and empty texts give the end id alone; a null id sorts last; rows with equal ids are all
-written, ordered by text; an empty table gives no files and no rows.
+written, ordered by a hash of their compressed token ids; where one id (or none) fills several ranges, its rows
+are dealt over them in that order. An empty table gives no files and no rows.
 """
 
 from __future__ import annotations
@@ -21,18 +23,22 @@ from __future__ import annotations
 import uuid
 import zlib
 from collections.abc import Iterator
-from operator import itemgetter
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import pyarrow.fs
+import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm.shared import NULL_ID, id_or_last, partitions, range_bounds, range_bucket, shared_folder, slices, texts, worker_memory
+from tessera.llm.shared import NULL_ID, hash_share, id_or_last, partitions, quoted, range_bounds, range_bucket, shared_folder, slices, texts, unpacked, worker_memory
 
-#: How many pieces a Python worker remembers; past that it learns others for the batch at hand only.
-PIECES = 1_000_000
+#: How many pieces a Python worker remembers, and near how many bytes; past either it learns others for the batch at
+#: hand only.
+PIECES, PIECES_BYTES = 1_000_000, 64 << 20
+#: Bytes of a remembered piece besides its characters and ids.
+PIECE_COST = 140
 #: Characters that are neither letters nor numbers, and a bound below which every version of Unicode knows letters.
 MARKS, OLD_LETTERS = "!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~", "\u0600"
 #: White space other than spaces and line ends.
@@ -52,6 +58,7 @@ class Encoder:
     """Ids of texts by a byte-level tokenizers file, with a bounded memory of pieces.
 
     A piece is the characters from one space or line end to the next; a line end stays in front of its piece.
+    A call holds the ids and places of one batch beside that memory.
     """
 
     def __init__(self, tokenizer_path: str, dtype: str):
@@ -60,6 +67,7 @@ class Encoder:
         self.tokenizer, self.dtype = Tokenizer.from_file(tokenizer_path), np.dtype(dtype)
         self.line_end = self.tokenizer.encode("a\nb", add_special_tokens=False).ids[1]
         self.known: dict[str, bytes] = {"": b"", "\n": np.array([self.line_end], self.dtype).tobytes()}
+        self.held = 0
 
     @classmethod
     def of_worker(cls, tokenizer_path: str, dtype: str) -> Encoder:
@@ -70,22 +78,65 @@ class Encoder:
         return held[tokenizer_path, dtype]
 
     def __call__(self, texts: list[str]) -> list[bytes]:
-        # The last piece, an empty line, keeps itemgetter's results tuples; its one id is cut off again.
-        pieces = [f"\n{t}\n".replace("\n", " \n").split(" ") if plain(t) else None for t in texts]
-        whole = iter(self._whole([t for t, p in zip(texts, pieces, strict=True) if p is None]))
+        size = self.dtype.itemsize
+        flat, counts = self.ids(texts)
+        raw, ends = flat.tobytes(), (np.cumsum(counts) * size).tolist()
+        return [raw[a:b] for a, b in zip([0, *ends[:-1]], ends, strict=False)]
+
+    def ids(self, texts: list[str], end_id: int | None = None) -> tuple[np.ndarray, np.ndarray]:
+        """All ids of the texts in a row, with end_id after each if given, and each text's number of ids."""
+        is_plain = np.fromiter(map(plain, texts), bool, len(texts))
+        counts, parts = np.zeros(len(texts), "int64"), {}
+        whole = self._whole([t for t, p in zip(texts, is_plain.tolist(), strict=True) if not p])
+        for at, raw in zip(np.flatnonzero(~is_plain).tolist(), whole, strict=True):
+            parts[at] = np.frombuffer(raw, self.dtype)
+            counts[at] = len(parts[at])
+        flat, own = self._plain([t for t, p in zip(texts, is_plain.tolist(), strict=True) if p])
+        counts[is_plain] = own
+        ends = int(end_id is not None)
+        out = np.empty(int(counts.sum()) + ends * len(texts), self.dtype)
+        stops = np.cumsum(counts + ends)
+        keep = np.ones(len(out), bool)
+        if ends:
+            out[stops - 1] = end_id
+            keep[stops - 1] = False
+        for at, part in parts.items():
+            a = stops[at] - counts[at] - ends
+            out[a : a + len(part)] = part
+            keep[a : a + len(part)] = False
+        out[keep] = flat
+        return out, counts + ends
+
+    def _plain(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """Ids in a row and their number for each text; pieces are split, made distinct and put back by Arrow and numpy."""
+        if not texts:
+            return np.empty(0, self.dtype), np.empty(0, "int64")
+        spaced = ["\n" + t.replace("\n", " \n") for t in texts]
+        split = pc.split_pattern(pa.array(spaced, pa.large_string()), " ")
+        coded = split.flatten().dictionary_encode()
         known, size = self.known, self.dtype.itemsize
-        new: set[str] = set()
-        for some in pieces:
-            if some is not None:
-                new.update(set(some).difference(known))
-        learned = self._learn(list(new))
-        done = [next(whole) if p is None else b"".join(itemgetter(*p)(known))[size:-size] for p in pieces]
-        if len(known) > PIECES:
+        distinct = coded.dictionary.to_pylist()
+        learned = self._learn([p for p in distinct if p not in known])
+        values = [known[p] for p in distinct]
+        if len(known) > PIECES or self.held > PIECES_BYTES:
             for p in learned:
-                del known[p]
-        return done
-
-    def _learn(self, new: list[str], at_once: int = 200) -> list[str]:
+                self.held -= self._cost(p, known.pop(p))
+        lengths = np.fromiter(map(len, values), "int64", len(values)) // size
+        table, begins = np.frombuffer(b"".join(values), self.dtype), np.cumsum(lengths) - lengths
+        at = coded.indices.to_numpy()
+        counts = lengths[at]
+        ends = np.cumsum(counts)
+        flat = table[np.repeat(begins[at] - (ends - counts), counts) + np.arange(int(ends[-1]))]
+        last = split.offsets.to_numpy()[1:] - 1
+        stops = ends[last]
+        keep = np.ones(len(flat), bool)
+        keep[np.r_[0, stops[:-1]]] = False  # the line end in front of each text
+        return flat[keep], np.diff(np.r_[0, stops]) - 1
+
+    def _cost(self, piece: str, ids: bytes) -> int:
+        return PIECE_COST + len(piece) + len(ids)
+
+    def _learn(self, new: list[str], at_once: int = 1000) -> list[str]:
         """Encode pieces, many as one text with each on a line of its own, and return what is known now. Of letters
         with marks after them the two are learned apart, since no byte-level pre-tokenizer joins them."""
         known, size = self.known, self.dtype.itemsize
@@ -98,11 +149,10 @@ class Encoder:
             else:
                 whole.append(p)
         whole += {part for _, *both in apart for part in both}.difference(known, whole)
-        parts = [whole[at : at + at_once] for at in range(0, len(whole), at_once)]
-        lines = ["".join([p if p[0] == "\n" else "\n " + p for p in part]) for part in parts]
-        coded = self.tokenizer.encode_batch_fast(lines, add_special_tokens=False)
-        for part, code in zip(parts, coded, strict=True):
-            ids = np.array(code.ids, dtype=self.dtype)
+        for at in range(0, len(whole), at_once):
+            part = whole[at : at + at_once]
+            line = "".join([p if p[0] == "\n" else "\n " + p for p in part])
+            ids = np.array(self.tokenizer.encode_batch_fast([line], add_special_tokens=False)[0].ids, dtype=self.dtype)
             starts = np.flatnonzero(ids == self.line_end)
             if len(starts) != len(part):
                 raise ValueError("this tokenizer doesn't keep line ends apart")
@@ -111,7 +161,9 @@ class Encoder:
             ends = [*cuts[1:], len(raw)]
             known.update({p: raw[a if p[0] == "\n" else a + size : b] for p, a, b in zip(part, cuts, ends, strict=True)})
         known.update({p: known[letters] + known[marks][size:] for p, letters, marks in apart})
-        return [*whole, *[p for p, _, _ in apart]]
+        learned = [*whole, *[p for p, _, _ in apart]]
+        self.held += sum(self._cost(p, known[p]) for p in learned)
+        return learned
 
     def _whole(self, texts: list[str]) -> list[bytes]:
         done = self.tokenizer.encode_batch(texts, add_special_tokens=False) if texts else []
@@ -123,39 +175,58 @@ def _open(folder: str) -> tuple[pa.fs.FileSystem, str]:
     return system, path
 
 
+def vocabulary_size(tokenizer_path: str) -> int:
+    """One more than the largest id of a tokenizers file."""
+    from tokenizers import Tokenizer
+
+    return max(Tokenizer.from_file(tokenizer_path).get_vocab().values(), default=0) + 1
+
+
 def _width(vocabulary: int) -> str:
     return "<u2" if vocabulary <= 1 << 16 else "<u4"
 
 
-def write_tokens(docs: DataFrame, tokenizer_path: str, folder: str | None = None, id_col: str = "doc_id", text_col: str = "text", end_id: int = 2, length: int = 2048, batch_sequences: int = 256, vocabulary: int = 50_257, order_col: str | None = None) -> DataFrame:
+def write_tokens(docs: DataFrame, tokenizer_path: str, folder: str | None = None, id_col: str = "doc_id", text_col: str = "text", end_id: int = 2, length: int = 2048, batch_sequences: int = 256, vocabulary: int | None = None, order_col: str | None = None) -> DataFrame:
     """Write the files; one row for each: file (their order), path, n_ids. Eager: the files exist on return.
-    order_col: a long that the documents are ordered by instead of their ids."""
+    vocabulary: how many ids there are, by default what the tokenizer says. order_col: a long that the documents are
+    ordered by instead of their ids."""
     spark = docs.sparkSession
     folder = folder or f"{shared_folder(spark)}/tokens-{uuid.uuid4().hex}"
-    dtype = _width(vocabulary)
-    sid, place = id_or_last(id_col), id_or_last(order_col or id_col)
-    bounds = range_bounds(docs.select(place.alias("place")), "place", partitions(spark))
-    source = docs.select(sid.alias("sid"), F.col(text_col).alias("text"), place.alias("place")).withColumn("file", range_bucket(F.col("place"), bounds))
-    dealt = source.repartition(partitions(spark), "file").sortWithinPartitions("file", "place", "sid", "text").drop("place")
+    dtype = _width(max(vocabulary or vocabulary_size(tokenizer_path), end_id + 1))
+    sid, place, files = id_or_last(id_col), id_or_last(order_col or id_col), partitions(spark)
+    bounds = range_bounds(docs.select(place.alias("place")), "place", files, ties=True)
     system, path = _open(folder)
     system.create_dir(path, recursive=True)
+    target = pa.schema([("place", pa.int64()), ("sid", pa.int64()), ("ids", pa.binary())])
+
+    def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        encoder, pack = Encoder.of_worker(tokenizer_path, dtype), zstandard.ZstdCompressor(level=3).compress
+        for part in slices(batches, 4 << 20):
+            flat, counts = encoder.ids([t.decode("utf-8", "replace") for t in texts(part["text"])], end_id)
+            ends = np.cumsum(counts).tolist()
+            ids = [pack(flat[a:b]) for a, b in zip([0, *ends[:-1]], ends, strict=False)]
+            yield pa.RecordBatch.from_arrays([part["place"], part["sid"], pa.array(ids, pa.binary())], schema=target)
+
+    coded = docs.select(place.alias("place"), sid.alias("sid"), quoted(text_col).alias("text")).mapInArrow(encode, "place long, sid long, ids binary")
+    ranged = coded.withColumn("tie", hash_share("ids"))
+    file = range_bucket(F.col("place"), bounds, F.col("tie"))
+    dealt = ranged.withColumn("file", file).repartitionById(files, "file").sortWithinPartitions("file", "place", "tie", "sid", "ids").select("file", "sid", "ids")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode, out, end = Encoder.of_worker(tokenizer_path, dtype), None, np.array([end_id], dtype).tobytes()
-        for batch in batches:
-            for part in slices(iter((batch,)), 2 << 20):
-                coded = encode([t.decode("utf-8", "replace") for t in texts(part["text"])])
-                for file, sid_, ids in zip(part["file"].to_pylist(), part["sid"].to_pylist(), coded, strict=True):
-                    if out is None or out.file != file:
-                        if out is not None:
-                            yield out.close()
-                        out = _TokenFile(folder, file, dtype, length, batch_sequences)
-                    out.add(sid_, ids + end)
+        worker_memory()
+        out = None
+        for part in slices(batches, 4 << 20):
+            for at, sid_, ids in zip(part["file"].to_pylist(), part["sid"].to_pylist(), unpacked(part["ids"]), strict=True):
+                if out is None or out.file != at:
+                    if out is not None:
+                        yield out.close()
+                    out = _TokenFile(folder, at, dtype, length, batch_sequences)
+                out.add(sid_, ids)
         if out is not None:
             yield out.close()
 
-    files = dealt.mapInArrow(run, FILE_DDL).collect()  # one row for each range
-    return spark.createDataFrame(sorted((r["file"], r["path"], r["n_ids"]) for r in files), FILE_DDL)
+    written = dealt.mapInArrow(run, FILE_DDL).collect()  # one row for each range
+    return spark.createDataFrame(sorted((r["file"], r["path"], r["n_ids"]) for r in written), FILE_DDL)
 
 
 class _TokenFile:
@@ -166,7 +237,7 @@ class _TokenFile:
         self.file, self.path, self.dtype, self.length = file, f"{base}/{file:08d}.arrow", np.dtype(dtype), length
         self.own = f"{self.path}.{uuid.uuid4().hex}"
         kind = pa.uint16() if self.dtype.itemsize == 2 else pa.uint32()
-        self.schema = pa.schema([("ids", pa.list_(kind, length)), ("mask", pa.list_(pa.bool_(), length))])
+        self.schema = pa.schema([("ids", pa.list_(kind, length)), ("mask", pa.list_(pa.uint8(), length))])
         self.sink = self.system.open_output_stream(self.own)
         self.writer = pa.ipc.new_file(self.sink, self.schema)
         self.size = batch_sequences * length * self.dtype.itemsize
@@ -188,9 +259,9 @@ class _TokenFile:
 
     def _write(self, ids: np.ndarray) -> None:
         missing = -len(ids) % self.length
-        mask = np.ones(len(ids) + missing, bool)
+        mask = np.ones(len(ids) + missing, "u1")
         if missing:
-            mask[len(ids) :] = False
+            mask[len(ids) :] = 0
             ids = np.r_[ids, np.zeros(missing, self.dtype)]
         lists = [pa.FixedSizeListArray.from_arrays(pa.array(x), self.length) for x in (ids, mask)]
         self.writer.write_batch(pa.RecordBatch.from_arrays(lists, schema=self.schema))
@@ -209,7 +280,7 @@ class _TokenFile:
 
 
 class TokenFile:
-    """Random access to one file: sequence k, or any span of ids, without copying where one batch holds it."""
+    """Random access to one file: sequence k (ids and mask), or any span of ids, without copying where one batch holds it."""
 
     def __init__(self, folder: str, path: str):
         system, _ = _open(folder)
@@ -229,8 +300,9 @@ class TokenFile:
     def sequence(self, k: int) -> tuple[np.ndarray, np.ndarray]:
         """Ids and mask of the k-th sequence."""
         batch, row = self.batch(k // self.per_batch), k % self.per_batch
-        ids = batch["ids"].flatten().to_numpy()[row * self.length : (row + 1) * self.length]
-        return ids, batch["mask"].slice(row, 1).flatten().to_numpy(zero_copy_only=False)
+        a, b = row * self.length, (row + 1) * self.length
+        ids, mask = (batch[c].flatten().to_numpy(zero_copy_only=True)[a:b] for c in ("ids", "mask"))
+        return ids, mask.view(bool)
 
     def span(self, start: int, count: int) -> np.ndarray:
         """Ids start .. start + count of the file's stream."""
