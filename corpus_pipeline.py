@@ -15,7 +15,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tessera.llm import contamination, mixing, quality, registry, similar, simhash, token_files
-from tessera.llm.shared import shared_folder
+from tessera.llm.shared import quoted, shared_folder
 
 
 def quality_filter(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -43,7 +43,7 @@ def source_mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents as often as their source's target weight asks, written in the order of the mix's slots; n_chars follows
     a text that is cut."""
     mixed = mixing.mixed_documents(docs)
-    return mixed.withColumn("n_chars", F.char_length("text").cast("long")).select(docs.columns)
+    return mixed.select(*[(F.char_length("text").cast("long") if c == "n_chars" else quoted(c)).alias(c) for c in docs.columns])
 
 
 def token_output(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
