@@ -2,17 +2,18 @@
 
 from __future__ import annotations
 
-from tessera.llm import licenses
+from tessera.llm import licenses, mixing
 
 SPACE = r"[\x20\x09-\x0D]"
 WORD = r"[^\x20\x09-\x0D]+"
 ABC = "'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'"
 
-# The mix: sizes, targets by sharing again until none is over its cap, places in the shuffled streams. The
-# schedule decides the order of the blocks; how many words each document gives follows from target and place.
+# The mix: sizes, targets by sharing again until none is over its cap, places in the shuffled streams, then the golden
+# points one by one, each to the source whose share of the cumulative targets holds it. Blocks that a source lacks when
+# the points are drawn come after them.
 OP2 = f"""
-WITH sized AS (
-  SELECT doc_id, source, coalesce(len(regexp_extract_all(text, '{WORD}')), 0)::BIGINT AS size FROM documents
+WITH sized AS MATERIALIZED (
+  SELECT row_number() OVER () AS nr, doc_id, source, coalesce(len(regexp_extract_all(text, '{WORD}')), 0)::BIGINT AS size FROM documents
 ), sources AS (
   SELECT source, sum(size)::BIGINT AS source_size, row_number() OVER (ORDER BY source NULLS LAST) - 1 AS sid
   FROM sized GROUP BY source
@@ -26,18 +27,43 @@ WITH sized AS (
   SELECT *, (total - caps)::DOUBLE / (weights - passed)::DOUBLE AS level FROM summed
 ), final AS (
   SELECT *, (SELECT level FROM levels WHERE cap >= level * weight ORDER BY ratio, sid LIMIT 1) AS final FROM levels
-), aimed AS (
-  SELECT source, sid, source_size,
+), aimed AS MATERIALIZED (
+  SELECT source, sid, source_size, total,
     CASE WHEN final IS NULL OR cap < final * weight THEN cap::DOUBLE ELSE final * weight END AS target FROM final
-), placed AS (
-  SELECT doc_id, size, source_size, target, round(target)::BIGINT AS goal,
+), shares AS (
+  SELECT *, sum(target) OVER (ORDER BY sid) / nullif(sum(target) OVER (), 0) AS high,
+    ceil(round(target) / {mixing.BLOCK_WORDS})::BIGINT AS needed, ceil(total / {mixing.BLOCK_WORDS})::BIGINT AS drawn
+  FROM aimed
+), ends AS MATERIALIZED (
+  SELECT *, coalesce(lag(high) OVER (ORDER BY sid), 0) AS low FROM shares
+), points AS (
+  SELECT i AS slot, (i * {mixing.GOLDEN} % {mixing.POINTS}) / {mixing.POINTS}::DOUBLE AS point
+  FROM unnest(range((SELECT max(drawn) FROM ends))) r(i)
+), turns AS (
+  SELECT slot, sid, needed, row_number() OVER (PARTITION BY sid ORDER BY slot) - 1 AS block
+  FROM points JOIN ends ON point >= low AND point < high
+), blocks AS (
+  SELECT slot, sid, block FROM turns WHERE block < needed
+  UNION ALL
+  SELECT block * 1000000 + sid + drawn, sid, block
+  FROM (SELECT *, unnest(range((SELECT count(*) FROM turns WHERE turns.sid = ends.sid), needed)) AS block FROM ends)
+), placed AS MATERIALIZED (
+  SELECT nr, doc_id, size, sid, source_size, target, round(target)::BIGINT AS goal,
     coalesce(sum(size) OVER (PARTITION BY sid ORDER BY md5(coalesce(doc_id::VARCHAR, '')), doc_id, size
       ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS place
   FROM sized JOIN aimed ON sized.source IS NOT DISTINCT FROM aimed.source
+), copies AS (
+  SELECT nr, sid, place + e * source_size AS begun, least(size, goal - place - e * source_size) AS words
+  FROM placed, unnest([0, 1, 2]) c(e) WHERE size > 0 AND place + e * source_size < goal
+), pieces AS (
+  SELECT nr, sid, unnest(range(begun // {mixing.BLOCK_WORDS}, (begun + words - 1) // {mixing.BLOCK_WORDS} + 1)) AS block FROM copies
+), slots AS (
+  SELECT nr, min(slot) AS first_slot, max(slot) AS last_slot, count(*) AS n_pieces FROM pieces JOIN blocks USING (sid, block) GROUP BY nr
 )
 SELECT doc_id, size, source_size, target, (greatest(least(size, goal - place), 0)
-  + greatest(least(size, goal - place - source_size), 0) + greatest(least(size, goal - place - 2 * source_size), 0))::BIGINT AS taken
-FROM placed
+  + greatest(least(size, goal - place - source_size), 0) + greatest(least(size, goal - place - 2 * source_size), 0))::BIGINT AS taken,
+  first_slot, last_slot, coalesce(n_pieces, 0) AS n_pieces
+FROM placed LEFT JOIN slots USING (nr)
 """
 
 
