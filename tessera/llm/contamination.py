@@ -28,7 +28,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm.shared import slices, texts, worker_memory
+from tessera.llm.shared import kept_rows, own_name, quoted, slices, texts
 
 PUNCTUATION = b"!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~"
 PAIRS = "doc_id long, item_id long, n_shingles int, n_found int, containment double"
@@ -90,13 +90,13 @@ class Items:
 def contaminated(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_id_col: str = "item_id", item_text_col: str = "text", size: int = 5, threshold: float = 0.8, broadcast_mb: float = 8) -> DataFrame:
     """Pairs (doc_id, item_id) with n_shingles, n_found and containment, at the threshold or above."""
     tests = _tests(items, item_id_col, item_text_col)
-    source = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
+    source = docs.select(quoted(id_col).cast("long").alias("doc_id"), quoted(text_col).alias("text"))
     make = _small(tests, size, threshold, broadcast_mb)
     return (_by_shuffle(source, tests, size, threshold) if make is None else _scan(source, make)).distinct()
 
 
 def _tests(items: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    return items.select(F.col(id_col).cast("long").alias("item_id"), F.col(text_col).alias("item")).where("item is not null")
+    return items.select(quoted(id_col).cast("long").alias("item_id"), quoted(text_col).alias("item")).where("item is not null")
 
 
 def _small(tests: DataFrame, size: int, threshold: float, broadcast_mb: float) -> Callable[[], Items] | None:
@@ -158,7 +158,7 @@ def _by_shuffle(source: DataFrame, tests: DataFrame, size: int, threshold: float
 
     found = both.mapInArrow(verify, "doc string, item string, n_shingles int, n_found int, containment double")
     if by_text:
-        return found.select(F.col("doc").alias("__hit")).distinct()
+        return found.select("doc").distinct()
     docs, items = source.select("doc_id", F.md5("text").alias("doc")), tests.select("item_id", F.md5("item").alias("item"))
     return found.join(docs, "doc").join(items, "item").select("doc_id", "item_id", "n_shingles", "n_found", "containment")
 
@@ -169,14 +169,16 @@ def decontaminate(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", tex
     tests = _tests(items, item_id_col, item_text_col)
     make = _small(tests, size, threshold, broadcast_mb)
     if make is None:
-        source = docs.select(F.lit(None).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
-        hits = _by_shuffle(source, tests, size, threshold, by_text=True)
-        return docs.join(hits, F.md5(text_col) == F.col("__hit"), "left_anti")
+        source = docs.select(F.lit(None).cast("long").alias("doc_id"), quoted(text_col).alias("text"))
+        hit = own_name("hit", *docs.columns)
+        hits = _by_shuffle(source, tests, size, threshold, by_text=True).toDF(hit)
+        return docs.join(hits, F.md5(quoted(text_col)) == F.col(hit), "left_anti")
 
-    def clean(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        worker_memory()
-        known = make()
-        for batch in slices(batches):
-            yield batch.filter(pa.array([not known.found_in(t) for t in texts(batch[text_col])], pa.bool_()))
+    held: list[Items] = []
+
+    def clean(given: list[bytes]) -> list[bool]:
+        if not held:
+            held.append(make())
+        return [not held[0].found_in(t) for t in given]
 
-    return docs.mapInArrow(clean, docs.schema)
+    return kept_rows(docs, text_col, clean)

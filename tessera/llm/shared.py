@@ -5,6 +5,7 @@ from __future__ import annotations
 import sys
 import uuid
 from collections.abc import Callable, Iterator
+from itertools import count
 from types import ModuleType
 from typing import Any
 
@@ -20,14 +21,25 @@ from tessera.sources.storage import shared_folder
 NULL_ID = 2**63 - 1
 
 
-def written(df: DataFrame, label: str) -> DataFrame:
+def written(df: DataFrame, label: str, codec: str = "snappy") -> DataFrame:
     """Write df as a table in the shared folder and read it back: lineage ends there, so a lost executor costs
     a reread, and several readers don't compute df again."""
     path = f"{shared_folder(df.sparkSession)}/{label}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    df.write.parquet(path, compression=codec)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def quoted(name: str) -> Column:
+    """The column of that name, whatever characters it has."""
+    return F.col("`" + name.replace("`", "``") + "`")
+
+
+def own_name(label: str, *taken: str) -> str:
+    """A column name that none of the taken ones equals, whatever their case."""
+    lowered = {t.lower() for t in taken}
+    return next(n for n in (f"__{label}{k}" for k in count()) if n not in lowered)
+
+
 def partitions(spark: SparkSession) -> int:
     """How many partitions a shuffle of the session has; the operators size their own by it."""
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
@@ -35,7 +47,7 @@ def partitions(spark: SparkSession) -> int:
 
 def id_or_last(column: str) -> Column:
     """The id as a long; null counts as the largest."""
-    return F.coalesce(F.col(column).cast("long"), F.lit(NULL_ID))
+    return F.coalesce(quoted(column).cast("long"), F.lit(NULL_ID))
 
 
 def range_bounds(ids: DataFrame, column: str, buckets: int, ties: bool = False) -> np.ndarray:
@@ -47,7 +59,8 @@ def range_bounds(ids: DataFrame, column: str, buckets: int, ties: bool = False)
     """
     points = [i / buckets for i in range(1, buckets)]
     cuts = ids.approxQuantile(column, points, 0.2 / max(buckets, 1)) if points else []
-    bounds = np.sort(np.clip(np.asarray(cuts, dtype="float64"), -(2.0**62), 2.0**62).astype("int64"))
+    points = np.sort(np.asarray(cuts, dtype="float64"))
+    bounds = np.where(points >= 2.0**63, NULL_ID, np.clip(points, -(2.0**63), 2.0**63 - 1024).astype("int64"))
     return bounds if ties else np.unique(bounds)
 
 
@@ -126,3 +139,19 @@ def arrow_map(df: DataFrame, schema: str, rows: Callable[[pa.RecordBatch], dict]
             yield pa.RecordBatch.from_arrays([pa.array(out[f.name], type=f.type) for f in target], schema=target)
 
     return df.mapInArrow(run, schema)
+
+
+def kept_rows(docs: DataFrame, text_col: str, keep: Callable[[list[bytes]], list[bool]]) -> DataFrame:
+    """The rows of docs whose texts pass, with columns of any name as they are. keep is called in each task, on batches."""
+    from pyspark.sql.types import StructField, StructType
+
+    places = [f"c{k}" for k in range(len(docs.columns))]
+    text = places[docs.columns.index(text_col)]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        worker_memory()
+        for batch in slices(batches):
+            yield batch.filter(pa.array(keep(texts(batch[text])), pa.bool_()))
+
+    schema = StructType([StructField(n, f.dataType, f.nullable) for n, f in zip(places, docs.schema, strict=True)])
+    return docs.toDF(*places).mapInArrow(run, schema).toDF(*docs.columns)
