@@ -5,12 +5,14 @@ made one, and every run of ASCII characters other than a-z and 0-9 made one spac
 start with "copyright" or "all rights reserved") and empty lines are left out of an entire text, whose other
 lines are joined by a space. A digest is the MD5 of the canonical form.
 
-Everything is built-in functions in one pass without a shuffle: entire texts are hash-joined to the known
-digests, a table whose size is that of the list below (or of `known`, checked against `most`); digests of lines
-are intersected with those of the known notices.
+Everything is built-in functions. Entire texts are hash-joined to the table of known digests, whatever its size, and
+Spark broadcasts it if it's small. Digests of lines are intersected with those of the known notices, as constants of
+the one pass over the texts, while there are at most `constants` of them; beyond that lines are exploded and joined
+with the notices' table. Both ways give the same rows.
 
 Defined results: null and empty texts have the digest of an empty text and no licence; repeated rows are each
-scanned; an empty table gives no rows; columns besides id and text aren't read.
+scanned; of licences with one digest the first by name holds; known rows with a null text or licence are left out; an
+empty table gives no rows; columns besides id and text aren't read.
 """
 
 from __future__ import annotations
@@ -18,6 +20,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tessera.llm.shared import quoted, written
+
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 SPELLINGS = (("©", " copyright "), ("(c)", " copyright "), ("licence", "license"), ("licencing", "licensing"), ("favour", "favor"), ("sub-license", "sublicense"), ("noninfringement", "non-infringement"))
 PUNCTUATION = "[\\x00-\\x2f\\x3a-\\x60\\x7b-\\x7f]+"
@@ -78,26 +82,38 @@ def canonical_text(lines: Column) -> Column:
     return F.array_join(F.filter(lines, lambda x: (x != "") & ~F.greatest(*[x.startswith(s) for s in SKIPPED])), " ")
 
 
-def scan_licenses(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", known: DataFrame | None = None, most: int = 10_000) -> DataFrame:
+def scan_licenses(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", known: DataFrame | None = None, constants: int = 10_000) -> DataFrame:
     """One row for each document: doc_id, digest, license (of the entire text, or null), notices (the licences
     that a line names, ascending, or null). known: rows (license, text, whole), whole telling texts from notices."""
     spark = docs.sparkSession
     if known is None:
         known = spark.createDataFrame([(i, t, True) for i, t in LICENSES] + [(i, t, False) for i, t in NOTICES], "license string, text string, whole boolean")
-    marked = known.select("license", "whole", _lines(F.col("text")).alias("lines")).select("license", "whole", F.md5(canonical_text(F.col("lines"))).alias("known_digest"))
-    rows = marked.limit(most + 1).collect()
-    if len(rows) > most:
-        raise ValueError(f"more than {most} known licences: raise `most`")
-    whole = spark.createDataFrame(sorted({r["known_digest"]: r["license"] for r in sorted(rows, reverse=True) if r["whole"]}.items()) or [("", "")], "known_digest string, license string")
-    notices = sorted({(r["known_digest"], r["license"]) for r in rows if not r["whole"]})
-    found = F.lit(None).cast("array<string>")
-    if notices:
-        names = F.create_map(*[F.lit(x) for pair in notices for x in pair])
-        digests = F.array_intersect(F.transform(F.col("lines"), lambda x: F.md5(x)), F.array(*[F.lit(d) for d, _ in notices]))
-        found = F.array_sort(F.array_distinct(F.transform(digests, lambda d: names[d])))
-    scanned = docs.select(F.col(id_col).cast("long").alias("doc_id"), _lines(F.col(text_col)).alias("lines")).select(
-        "doc_id",
-        F.md5(canonical_text(F.col("lines"))).alias("digest"),
-        F.nullif(F.array_join(found, ","), F.lit("")).alias("notices"),
-    )
-    return scanned.join(F.broadcast(whole), scanned["digest"] == whole["known_digest"], "left").select("doc_id", "digest", "license", "notices")
+    canonical = known.where("license is not null and text is not null").select("license", "whole", F.md5(canonical_text(_lines(F.col("text")))).alias("known_digest"))
+    marked = written(canonical.groupBy("whole", "known_digest").agg(F.min("license").alias("license")), "known-licenses")
+    whole, notices = marked.where("whole").drop("whole"), marked.where("not whole").drop("whole")
+    lines = docs.select(quoted(id_col).cast("long").alias("doc_id"), _lines(quoted(text_col)).alias("lines"))
+    digest, digests = F.md5(canonical_text(F.col("lines"))).alias("digest"), F.transform(F.col("lines"), lambda x: F.md5(x))
+    named = notices.limit(constants + 1).collect()  # bounded by the parameter
+    if len(named) <= constants:
+        scanned = lines.select("doc_id", digest, _among(digests, {r["known_digest"]: r["license"] for r in named}).alias("names"))
+    else:
+        scanned = _joined(lines.select("doc_id", digest, F.array_distinct(digests).alias("digests")), notices)
+    found = scanned.withColumn("notices", F.nullif(F.array_join("names", ","), F.lit("")))
+    return found.join(whole, found["digest"] == whole["known_digest"], "left").select("doc_id", "digest", "license", "notices")
+
+
+def _among(digests: Column, names: dict[str, str]) -> Column:
+    """The licences of a row's digests, ascending, looked up in a constant map."""
+    if not names:
+        return F.lit(None).cast("array<string>")
+    held = F.create_map(*[F.lit(x) for pair in sorted(names.items()) for x in pair])
+    met = F.array_intersect(digests, F.array(*[F.lit(d) for d in sorted(names)]))
+    return F.array_sort(F.array_distinct(F.transform(met, lambda d: held[d])))
+
+
+def _joined(rows: DataFrame, notices: DataFrame) -> DataFrame:
+    """rows(doc_id, digest, digests) -> doc_id, digest, names, by a join of the exploded digests."""
+    table = written(rows.withColumn("row", F.monotonically_increasing_id()), "line-digests")
+    met = table.select("row", F.explode("digests").alias("known_digest")).join(notices, "known_digest")
+    names = met.groupBy("row").agg(F.array_sort(F.collect_set("license")).alias("names"))
+    return table.drop("digests").join(names, "row", "left")
