@@ -26,7 +26,7 @@ import zstandard
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tessera.llm.shared import arrow_map, id_or_last, partitions, range_bounds, range_bucket, slices, texts, written
+from tessera.llm.shared import arrow_map, id_or_last, partitions, quoted, range_bounds, range_bucket, slices, texts, written
 
 #: Bytes of canonical texts that a task keeps to compare others with; past it, it starts anew.
 KEEP_BYTES = 64 << 20
@@ -56,7 +56,7 @@ def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     group_id is the smallest id among documents with the same canonical text.
     """
     spark = docs.sparkSession
-    source = docs.select(F.col(id_col).cast("long").alias("doc_id"), id_or_last(id_col).alias("sid"), F.col(text_col).alias("text"))
+    source = docs.select(quoted(id_col).cast("long").alias("doc_id"), id_or_last(id_col).alias("sid"), quoted(text_col).alias("text"))
 
     def digests(batch: pa.RecordBatch) -> dict:
         return {"sid": batch["sid"], "digest": [digest(canonical(t), digest_bits) for t in texts(batch["text"])]}

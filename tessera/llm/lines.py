@@ -20,7 +20,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm.shared import arrow_map, packed, texts, unpacked, written
+from tessera.llm.shared import arrow_map, packed, quoted, texts, unpacked, written
 
 SPACE = b" \t\n\x0b\x0c\r"
 
@@ -44,7 +44,7 @@ def long_lines(text: bytes, min_chars: int) -> tuple[list[int], list[bytes]]:
 
 def drop_shared_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_chars: int = 40, min_docs: int = 5) -> DataFrame:
     """One row for each document: doc_id, n_lines, n_dropped, kept_text."""
-    source = docs.select(F.monotonically_increasing_id().alias("row"), F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
+    source = docs.select(F.monotonically_increasing_id().alias("row"), quoted(id_col).cast("long").alias("doc_id"), quoted(text_col).alias("text"))
 
     def split(batch: pa.RecordBatch) -> dict:
         held = [long_lines(t, min_chars) for t in texts(batch["text"])]

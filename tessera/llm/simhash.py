@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tessera.llm.components import components
-from tessera.llm.shared import NULL_ID, arrow_map, id_or_last, partitions, texts, worker_memory, written
+from tessera.llm.shared import NULL_ID, arrow_map, id_or_last, own_name, partitions, quoted, texts, worker_memory, written
 
 ALL = np.uint64(0xFFFFFFFFFFFFFFFF)
 #: Runs of equal keys up to this length are compared by offset, longer ones as stored planes.
@@ -184,7 +184,7 @@ def fingerprint_links(values: DataFrame, radius: int = 4, chunk: int = 8192) ->
 def _classes(docs: DataFrame, id_col: str, text_col: str, words: int, radius: int, chunk: int) -> tuple[DataFrame, DataFrame]:
     """Tables: each row's doc_id, a hash of its text (mark) and fingerprint fp; each distinct fp with its first id and
     its component, which is named by its smallest fp."""
-    source = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.xxhash64(text_col).alias("mark"), F.col(text_col).alias("text"))
+    source = docs.select(quoted(id_col).cast("long").alias("doc_id"), F.xxhash64(quoted(text_col)).alias("mark"), quoted(text_col).alias("text"))
 
     def sign(batch: pa.RecordBatch) -> dict:
         values = np.array([simhash(t, words) for t in texts(batch["text"])], dtype="<u8")
@@ -211,7 +211,7 @@ def one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     none) in a component, the one whose text has the smallest hash; different components never cost each other a row."""
     signed, classes = _classes(docs, id_col, text_col, words, radius, chunk)
     member = signed.join(classes.select("fp", "component"), "fp").select("component", F.struct(id_or_last("doc_id").alias("sid"), "mark").alias("row"))
-    keep = member.groupBy("component").agg(F.min("row").alias("row")).select(F.col("row.sid").alias("__keep"), F.col("row.mark").alias("__text"))
-    named = docs.withColumns({"__sid": id_or_last(id_col), "__mark": F.xxhash64(text_col)})
-    kept = named.join(keep, (F.col("__sid") == F.col("__keep")) & (F.col("__mark") == F.col("__text")), "left_semi")
-    return kept.dropDuplicates(["__sid", "__mark"]).drop("__sid", "__mark")
+    sid, mark = own_name("sid", *docs.columns), own_name("mark", *docs.columns)
+    keep = member.groupBy("component").agg(F.min("row").alias("row")).select(F.col("row.sid").alias(sid), F.col("row.mark").alias(mark))
+    named = docs.withColumns({sid: id_or_last(id_col), mark: F.xxhash64(quoted(text_col))})
+    return named.join(keep, [sid, mark], "left_semi").dropDuplicates([sid, mark]).select(*[quoted(c) for c in docs.columns])

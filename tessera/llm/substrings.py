@@ -35,7 +35,7 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm.shared import NULL_ID, arrow_map, id_or_last, partitions, texts
+from tessera.llm.shared import NULL_ID, arrow_map, id_or_last, partitions, quoted, texts
 
 #: A perfect difference cover: every remainder modulo PERIOD is a difference of two of its members.
 PERIOD, COVER = 7, (0, 1, 3)
@@ -196,7 +196,7 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     anchor = window - PERIOD + 1
 
     sid = id_or_last(id_col)
-    source = docs.select(F.pmod(F.xxhash64(sid), F.lit(groups)).cast("int").alias("grp"), sid.alias("sid"), F.col(text_col).alias("text"))
+    source = docs.select(F.pmod(F.xxhash64(sid), F.lit(groups)).cast("int").alias("grp"), sid.alias("sid"), quoted(text_col).alias("text"))
 
     def pack(batch: pa.RecordBatch) -> dict:
         squeeze = zstandard.ZstdCompressor(level=1).compress
