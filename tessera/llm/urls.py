@@ -6,8 +6,9 @@ rule into every range that its interval meets; within a range a sweep over rules
 stack of the active rules. The rule that holds is the longest active one whose path starts the url's: longest
 host first, then longest path.
 
-Range bounds come from a bounded sample of keys (`per_range` for each range) and only deal out work; a host with
-many urls fills several equal bounds, and its urls spread over those ranges by a hash of their id.
+Range bounds come from a sample of keys (near `per_range` for each range, and at most SAMPLE however many pages and
+ranges there are) and only deal out work; a host with many urls fills several equal bounds, and its urls spread over
+those ranges by a hash of their id.
 
 Defined results: a null url, or one without "://", has an empty host and path and the default verdict; urls and
 ids may repeat; of rules with the same host and path the one that comes first in (host, path, verdict) holds; an
@@ -25,10 +26,12 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm.shared import partitions
+from tessera.llm.shared import partitions, quoted
 
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 END = "\x01"
+#: The most keys that reach the driver.
+SAMPLE = 1 << 18
 OUT = "page_id long, host string, path string, rule string, verdict string"
 
 
@@ -54,10 +57,11 @@ def judge_urls(pages: DataFrame, rules: DataFrame, id_col: str = "page_id", url_
     """
     spark = pages.sparkSession
     n = partitions(spark)
-    url = F.col(url_col)
-    keyed = pages.select(F.col(id_col).cast("long").alias("page_id"), host_of(url).alias("host"), path_of(url).alias("path")).withColumn("key", reversed_host(F.col("host")))
-    total = keyed.count()
-    sample = keyed.select("key").sample(min(1.0, 2 * per_range * n / max(total, 1)), seed=7).limit(4 * per_range * n)
+    url = quoted(url_col)
+    keyed = pages.select(quoted(id_col).cast("long").alias("page_id"), host_of(url).alias("host"), path_of(url).alias("path")).withColumn("key", reversed_host(F.col("host")))
+    total = pages.count()
+    wanted = min(per_range * n, SAMPLE // 2)
+    sample = keyed.select("key").sample(min(1.0, wanted / max(total, 1)), seed=7).limit(2 * wanted)
     keys = sorted(r["key"] for r in sample.collect())
     bounds = [keys[i * len(keys) // n] for i in range(1, n)] if keys else []
 
