@@ -2,7 +2,8 @@
 
 Both sides are unioned and dealt into ranges of the key within each `by` group; within a range one running
 window carries the last (or next) right row along. What a range inherits from those before it is one row for
-each range, so neither a single `by` group nor no `by` at all puts everything in one task.
+each range, so neither a single `by` group nor no `by` at all puts everything in one task. Ranges are quantiles of
+both sides' keys; rows whose key is NULL match nothing and are dealt out evenly.
 """
 
 from __future__ import annotations
@@ -11,7 +12,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-RANGES = 64
+#: The fewest ranges by default, and over how many NULL keys are dealt.
+RANGES, NULL_RANGES = 64, 1024
 
 
 def _number(column: Column, dtype: T.DataType) -> Column:
@@ -22,6 +24,15 @@ def _number(column: Column, dtype: T.DataType) -> Column:
     return column
 
 
+def _range_of(key: Column, cuts: list[float]) -> Column:
+    """How many cuts lie below the key, by halving steps over a constant array."""
+    if not cuts:
+        return F.lit(0).cast("long")
+    held = F.array(*[F.lit(c) for c in cuts])
+    steps = F.array(*[F.lit(1 << k) for k in reversed(range(len(cuts).bit_length()))])
+    return F.aggregate(steps, F.lit(0), lambda at, more: F.when(F.get(held, at + more - 1) < key, at + more).otherwise(at)).cast("long")
+
+
 def asof_join(
     left: DataFrame,
     right: DataFrame,
@@ -30,7 +41,7 @@ def asof_join(
     strategy: str = "backward",
     tolerance: float | None = None,
     suffix: str = "_right",
-    ranges: int = RANGES,
+    ranges: int | None = None,
 ) -> DataFrame:
     """Left rows, each with the columns of the nearest right row (NULLs if none).
 
@@ -54,10 +65,12 @@ def asof_join(
     both = left.select(*head, F.lit(1).alias("__side"), row_of_left, no_right).unionByName(
         kept.select(*head, F.lit(0).alias("__side"), no_left, row_of_right)
     )
+    ranges = ranges or max(RANGES, int(left.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    every_key = both.select(F.col("__key").cast("double").alias("k")).where("k is not null")
     points = [i / ranges for i in range(1, ranges)]
-    cuts = sorted(set(left.select(_number(F.col(on), kind).cast("double").alias("k")).where("k is not null").approxQuantile("k", points, 0.5 / ranges)))
-    index = sum([(F.col("__key").cast("double") > F.lit(c)).cast("int") for c in cuts], F.lit(0)) if cuts else F.lit(0)
-    ranged = both.withColumn("__range", F.coalesce(index, F.lit(-1)))
+    cuts = sorted(set(every_key.approxQuantile("k", points, 0.5 / ranges))) if points else []
+    spread = -1 - F.monotonically_increasing_id() % NULL_RANGES
+    ranged = both.withColumn("__range", F.when(F.col("__key").isNull(), spread).otherwise(_range_of(F.col("__key").cast("double"), cuts)))
     keys = [f"__by{i}" for i in range(len(by))]
 
     def nearest(back: bool) -> Column:

@@ -22,6 +22,14 @@ AGGREGATES = ("first", "last", "sum", "min", "max", "mean", "avg", "median", "co
 Resolver = Callable[[str], DataFrame]
 
 
+def _place(df: DataFrame, name: str) -> int:
+    """Where a column stands, by its exact name or else, as Spark finds columns, in any case."""
+    if name in df.columns:
+        return df.columns.index(name)
+    found = [i for i, c in enumerate(df.columns) if c.lower() == str(name).lower()]
+    return found[0] if len(found) == 1 else df.columns.index(df.select(name).columns[0])
+
+
 class RelationDAGRequired(RuntimeError):
     """A relation that refers to others by name was run outside the DAG that has them."""
 
@@ -181,35 +189,36 @@ class Relation:
             raise ValueError("a join needs on, or left_on and right_on of the same length")
 
         def step(left: DataFrame, right: DataFrame) -> DataFrame:
+            # Both sides go by place, so that no name of a column means anything to the join.
+            own, others = [f"l{i}" for i in range(len(left.columns))], [f"r{i}" for i in range(len(right.columns))]
+            a, b = left.toDF(*own), right.toDF(*others)
             if execute_on == "broadcast":
-                right = F.broadcast(right)
+                b = F.broadcast(b)
+            left_at, right_at = [_place(left, k) for k in left_keys], [_place(right, k) for k in right_keys]
+            rest = [i for i in range(len(others)) if i not in right_at]
+            names = [c + suffix if c in left.columns else c for c in right.columns]
             if how == "cross":
-                renamed = right.withColumnsRenamed({c: c + suffix for c in right.columns if c in left.columns})
-                return left.crossJoin(renamed)
-            right = right.withColumnsRenamed({k: f"__key{i}" for i, k in enumerate(right_keys)})
-            shown = {c: c + suffix if c in left.columns else c for c in right.columns if not c.startswith("__key")}
-            right = right.withColumnsRenamed(shown)
-            match = functools.reduce(lambda a, b: a & b, [left[k] == right[f"__key{i}"] for i, k in enumerate(left_keys)])
-            joined = left.join(right, match, JOINS[how])
+                return a.crossJoin(b).toDF(*left.columns, *names)
+            match = functools.reduce(lambda x, y: x & y, [F.col(own[i]) == F.col(others[j]) for i, j in zip(left_at, right_at, strict=True)])
+            joined = a.join(b, match, JOINS[how])
             if how in ("semi", "anti"):
-                return joined
-            rest = [F.col(f"`{c}`") for c in shown.values()]
+                return joined.toDF(*left.columns)
             if JOINS[how] == "full":
-                keys = [right[f"__key{i}"].alias(r + suffix if r in left.columns else r) for i, r in enumerate(right_keys)]
-                return joined.select(*[left[c] for c in left.columns], *keys, *rest)
+                return joined.select(*own, *[others[i] for i in [*right_at, *rest]]).toDF(*left.columns, *[names[i] for i in [*right_at, *rest]])
             if how == "right":
-                own = [right[f"__key{left_keys.index(c)}"].alias(c) if c in left_keys else left[c] for c in left.columns]
-                return joined.select(*own, *rest)
-            return joined.select(*[left[c] for c in left.columns], *rest)
+                own = [others[right_at[left_at.index(i)]] if i in left_at else c for i, c in enumerate(own)]
+            columns = [F.col(c).alias(f"o{i}") for i, c in enumerate([*own, *[others[i] for i in rest]])]
+            return joined.select(*columns).toDF(*left.columns, *[names[i] for i in rest])
 
         return self._then(step, relation(other, spark=None if isinstance(other, (Relation, DataFrame)) else _session()))
 
-    def join_asof(self, other: Any, *, on: str, by: Any = None, strategy: str = "backward", tolerance: float | None = None, suffix: str = "_right") -> Relation:
-        """Each row with the nearest row of other by `on`, within equal `by`; see asof_join."""
+    def join_asof(self, other: Any, *, on: str, by: Any = None, strategy: str = "backward", tolerance: float | None = None, suffix: str = "_right", ranges: int | None = None) -> Relation:
+        """Each row with the nearest row of other by `on`, within equal `by`; see asof_join. ranges: how many the key is
+        cut into, by default as many as a shuffle has partitions, 64 at least."""
         from tessera.operators.asof import asof_join
 
         keys = _names([by]) if by is not None else []
-        return self._then(lambda left, right: asof_join(left, right, on, keys, strategy, tolerance, suffix), relation(other))
+        return self._then(lambda left, right: asof_join(left, right, on, keys, strategy, tolerance, suffix, ranges), relation(other))
 
     # ---- groups and sets
 

@@ -162,3 +162,33 @@ def test_dag(spark):
     dag.add("q", dag.ref("p"))
     with pytest.raises(ValueError, match="cycle"):
         dag.topological_order()
+
+
+def test_join_keeps_every_column_whatever_its_name(spark):
+    left = spark.createDataFrame([(1, "a", "x"), (2, "b", "y"), (None, "c", "z")], ["k", "l0", "a.b"])
+    right = spark.createDataFrame([(1, "p", "q", 7, "t"), (3, "r", "s", 8, "u")], ["K", "__keyword", "r0", "a.b", "__key0"])
+    for how, rows in {
+        "inner": {(1, "a", "x", "p", "q", 7, "t")},
+        "left": {(1, "a", "x", "p", "q", 7, "t"), (2, "b", "y", None, None, None, None), (None, "c", "z", None, None, None, None)},
+        "right": {(1, "a", "x", "p", "q", 7, "t"), (3, None, None, "r", "s", 8, "u")},
+    }.items():
+        out = relation(left).join(relation(right), left_on="k", right_on="k", how=how).compile()
+        assert out.columns == ["k", "l0", "a.b", "__keyword", "r0", "a.b_right", "__key0"]
+        assert {tuple(r) for r in out.collect()} == rows
+    outer = relation(left).join(relation(right), left_on="k", right_on="K", how="outer").compile()
+    assert outer.columns == ["k", "l0", "a.b", "K", "__keyword", "r0", "a.b_right", "__key0"]
+    assert outer.count() == 4
+    assert {tuple(r) for r in relation(left).join(relation(right), left_on="k", right_on="K", how="anti").compile().collect()} == {(2, "b", "y"), (None, "c", "z")}
+    assert relation(left).join(relation(left), on="k").compile().count() == 2
+
+
+@pytest.mark.parametrize("ranges", [None, 1, 3, 500])
+def test_asof_in_any_number_of_ranges(spark, ranges):
+    left = spark.createDataFrame([(i, None if i % 5 == 0 else i * 3) for i in range(60)], "id long, t long")
+    right = spark.createDataFrame([(j * 7 - 300, f"r{j}") for j in range(100)], "t long, name string")
+    out = relation(left).join_asof(relation(right), on="t", strategy="backward", ranges=ranges).compile().collect()
+    keys = [j * 7 - 300 for j in range(100)]
+    assert len(out) == 60
+    for r in out:
+        near = [j for j, k in enumerate(keys) if r["t"] is not None and k <= r["t"]]
+        assert r["name"] == (f"r{near[-1]}" if near else None)
