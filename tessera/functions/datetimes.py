@@ -281,10 +281,10 @@ class DateTimeMethods:
     def strftime(self, format: str):
         return self._s(F.date_format(self._c, java_pattern(format)))
 
-    # ---- against the present, which is taken once, when the expression is built
+    # ---- against the present: the query's own time in the session's zone, the same for every row
 
     def _ago(self, duration: str, sign: int = -1) -> Column:
-        return F.lit(datetime.datetime.now() + sign * to_timedelta(duration)).cast("timestamp_ntz")
+        return F.localtimestamp() + F.lit(sign * to_timedelta(duration))
 
     def within_last(self, duration: str):
         return self._expr._bool(self._c > self._ago(duration))
@@ -295,8 +295,7 @@ class DateTimeMethods:
     newer_than = within_last
 
     def within_next(self, duration: str):
-        now = F.lit(datetime.datetime.now()).cast("timestamp_ntz")
-        return self._expr._bool((self._c >= now) & (self._c <= self._ago(duration, 1)))
+        return self._expr._bool((self._c >= F.localtimestamp()) & (self._c <= self._ago(duration, 1)))
 
     def between_last(self, older: str, newer: str):
         return self._expr._bool((self._c > self._ago(older)) & (self._c <= self._ago(newer)))

@@ -82,7 +82,7 @@ class ConverterRegistry:
             raise ValueError(f"converter {name!r} has no Python form")
         try:
             return spec.python(value)
-        except (TypeError, ValueError) as error:
+        except (TypeError, ValueError, OverflowError) as error:
             if not raise_on_error:
                 return None
             raise ValueError(f"cannot convert {value!r} by {name!r}" + (f" in field {field_name!r}" if field_name else "")) from error
@@ -99,18 +99,17 @@ class ConverterRegistry:
         return F.pandas_udf(each, UNIVERSAL_TO_SPARK[spec.target])(column)
 
 
-def _missing(value: Any) -> bool:
-    return value is None or (isinstance(value, float) and math.isnan(value))
-
-
 def safe_float(value: Any) -> float | None:
-    """NULL and NaN are None."""
-    return None if _missing(value) else float(value)
+    """NULL, NaN and infinities are None."""
+    number = None if value is None else float(value)
+    return number if number is not None and math.isfinite(number) else None
 
 
 def safe_int(value: Any) -> int | None:
-    """NULL and NaN are None; fractions are cut off."""
-    return None if _missing(value) else int(value)
+    """NULL, NaN and infinities are None; fractions are cut off."""
+    if value is None or (isinstance(value, float) and not math.isfinite(value)):
+        return None
+    return int(value)
 
 
 #: XML's predefined entities, the ampersand first.

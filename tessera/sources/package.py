@@ -50,8 +50,14 @@ class TableDialect:
         return {key: getattr(self, a) for a, key in _DIALECT.items() if getattr(self, a) is not None}
 
     def spark_options(self) -> dict[str, Any]:
-        """Options of Spark's CSV reader."""
-        pairs = (("sep", self.delimiter), ("lineSep", self.line_terminator), ("quote", self.quote_char), ("escape", '"' if self.double_quote and self.escape_char is None else self.escape_char), ("nullValue", self.null_sequence), ("ignoreLeadingWhiteSpace", self.skip_initial_space), ("comment", self.comment_char))
+        """Options of Spark's CSV reader. Quotes within quotes are doubled or follow the escape character; with neither
+        they stand for themselves. case_sensitive_header is checked against the schema when the file has been read."""
+        if self.header_rows is not None and list(self.header_rows) not in ([], [1]):
+            raise ValueError(f"header rows {self.header_rows}: only the first row of a file can be its header, or none")
+        escape = self.escape_char
+        if escape is None and self.double_quote is not None:
+            escape = (self.quote_char or '"') if self.double_quote else ""
+        pairs = (("sep", self.delimiter), ("lineSep", self.line_terminator), ("quote", self.quote_char), ("escape", escape), ("nullValue", self.null_sequence), ("ignoreLeadingWhiteSpace", self.skip_initial_space), ("comment", self.comment_char))
         header = self.header if self.header_rows is None else bool(self.header_rows)
         return {k: v for k, v in pairs if v is not None} | {"header": True if header is None else header}
 

@@ -45,6 +45,11 @@ def read_resource(resource: Any, spark: SparkSession) -> DataFrame:
     if spec is None or not spec.fields:
         return df
     declared = [f.source_name for f in spec.fields]
+    if resource.dialect is not None and (other := [n for n in declared if n not in df.columns]):
+        if resource.dialect.case_sensitive_header:
+            raise ValueError(f"resource {resource.name!r} has no columns {', '.join(other)} in this case")
+        lowered = {n.lower(): n for n in other}
+        df = df.withColumnsRenamed({c: lowered[c.lower()] for c in df.columns if c.lower() in lowered})
     missing = spec.missing_values or []
     if missing and resource.data is None:
         texts = {n for n, kind in df.dtypes if kind == "string" and n in declared}

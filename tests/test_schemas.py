@@ -14,7 +14,7 @@ import tessera as te
 from tessera import UniversalType as U
 from tessera import col, relation
 from tessera.plans import typespec as ts
-from tessera.plans.converters import REGISTRY, restore_special_characters
+from tessera.plans.converters import REGISTRY, restore_special_characters, safe_float, safe_int
 from tessera.sources import egress, mappers
 from tessera.sources.ingress import detect, to_frame
 
@@ -239,3 +239,45 @@ def test_more_schema_forms():
     assert apply_converters_to_dicts([{"b": "no"}, {"a": 1}], {"b": "rich_boolean"}) == [{"b": False}, {"a": 1}]
     assert ts.to_pandas_dtypes(spec) == {"a": "Int64", "b": "object", "c": "object"}
     assert [f.name for f in ts.to_arrow_schema(te.typespec({"x": "date", "y": "number"}))] == ["x", "y"]
+
+
+def test_infinities_are_missing():
+    for value in (float("inf"), float("-inf"), float("nan"), None):
+        assert safe_float(value) is None and safe_int(value) is None
+    assert safe_float("inf") is None and safe_float("2.5") == 2.5 and safe_int(2.9) == 2
+    assert REGISTRY.convert(float("inf"), "safe_int", raise_on_error=False) is None
+
+
+def test_dialects(spark, tmp_path):
+    (tmp_path / "a.csv").write_text("Id;said\n1;'it''s'\n2;'a;b'\n")
+
+    def rows(dialect, fields=("Id", "said")):
+        resource = {"name": "a", "path": f"{tmp_path}/a.csv", "dialect": {"delimiter": ";", "quoteChar": "'"} | dialect, "schema": {"fields": [{"name": n, "type": "string"} for n in fields]}}
+        return [tuple(r) for r in te.DataPackage.from_descriptor({"name": "p", "resources": [resource]}).to_relation_dag(spark=spark).collect("a").collect()]
+
+    assert rows({"doubleQuote": True}) == [("1", "it's"), ("2", "a;b")]
+    assert rows({"doubleQuote": False})[1] == ("2", "a;b")
+    assert rows({"doubleQuote": True, "headerRows": [1]}) == [("1", "it's"), ("2", "a;b")]
+    assert len(rows({"headerRows": []}, ("_c0", "_c1"))) == 3
+    assert rows({"doubleQuote": True}, ("ID", "said"))[0] == ("1", "it's")
+    with pytest.raises(ValueError):
+        rows({"caseSensitiveHeader": True}, ("ID", "said"))
+    with pytest.raises(ValueError):
+        rows({"headerRows": [1, 2], "headerJoin": "-"})
+
+
+def test_pydantic_mappers():
+    pydantic = pytest.importorskip("pydantic")
+
+    class Person(pydantic.BaseModel):
+        name: str
+        age: int = 3
+
+    Pair = namedtuple("Pair", ["name", "age"])
+    want = Person(name="a", age=4)
+    assert mappers.map_dict_to_pydantic({"name": "a", "age": 4}, Person) == want
+    assert mappers.map_tuple_to_pydantic(("a", 4), Person) == want
+    assert mappers.map_namedtuple_to_pydantic(Pair("a", 4), Person) == want
+    assert mappers.map_list_of_dicts_to_pydantic([{"name": "a", "age": 4}], Person) == [want]
+    assert mappers.map_list_of_tuples_to_pydantic([("a", 4)], Person) == [want]
+    assert mappers.map_list_of_namedtuples_to_pydantic([Pair("a", 4)], Person) == [want]
