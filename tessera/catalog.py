@@ -757,3 +757,98 @@ def streaming_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     stream = read_stream(spark, sf_dir, schema, pathGlobFilter="events.parquet").filter(col("value") > 50).select("event_type")
     run_available(stream, f"{path}/out", f"{path}/state")
     return relation(spark.read.parquet(f"{path}/out")).group_by("event_type").agg(te.count_records().alias("n")).compile()
+
+
+# ---- operators that no query above calls
+
+
+@query("""SELECT n_regionkey, 'same' AS any_name, string_agg(n_name, '+' ORDER BY n_name) AS names, sum(n_nationkey) AS keys, 0 AS no_keys FROM nation GROUP BY 1""")
+def agg_strings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    n = read(spark, sf_dir, "nation").with_columns(lit("same").alias("same"))
+    none = when(col("n_nationkey") < 0).then(col("n_nationkey")).otherwise(None)
+    joined = n.group_by("n_regionkey").agg(col("same").any_value().alias("any_name"), col("n_name").string_agg("+").alias("joined"), col("n_nationkey").sum0().alias("keys"), none.sum0().alias("no_keys"))
+    # A list's order within a group is open, so its parts are compared in order.
+    return joined.select("n_regionkey", "any_name", te.native(F.array_join(F.array_sort(F.split("joined", "[+]")), "+")).alias("names"), "keys", "no_keys").compile()
+
+
+@query("""SELECT o_orderstatus, o_orderpriority, count(*) AS n, round(sum(o_totalprice), 2) AS total FROM orders GROUP BY ROLLUP (o_orderstatus, o_orderpriority)""")
+def group_by_rollup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    grouped = read(spark, sf_dir, "orders").group_by("o_orderstatus", "o_orderpriority")
+    return grouped.rollup(te.count_records().alias("n"), col("o_totalprice").sum().round(2).alias("total")).compile()
+
+
+@query("""SELECT o_orderstatus, o_orderpriority, count(*) AS n, max(o_totalprice) AS most FROM orders GROUP BY CUBE (o_orderstatus, o_orderpriority)""")
+def group_by_cube(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return read(spark, sf_dir, "orders").group_by("o_orderstatus", "o_orderpriority").cube(te.count_records().alias("n"), col("o_totalprice").max().alias("most")).compile()
+
+
+@query("SELECT o_custkey FROM orders WHERE o_orderstatus = 'F' INTERSECT SELECT c_custkey FROM customer WHERE c_acctbal > 0")
+def set_intersect(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rich = read(spark, sf_dir, "customer").filter(col("c_acctbal") > 0).select(col("c_custkey").alias("o_custkey"))
+    return read(spark, sf_dir, "orders").filter(col("o_orderstatus") == "F").select("o_custkey").intersect(rich).compile()
+
+
+@query("SELECT c_custkey FROM customer EXCEPT SELECT o_custkey FROM orders WHERE o_orderstatus = 'F'")
+def set_difference(spark: SparkSession, sf_dir: str) -> DataFrame:
+    ordered = read(spark, sf_dir, "orders").filter(col("o_orderstatus") == "F").select(col("o_custkey").alias("c_custkey"))
+    return read(spark, sf_dir, "customer").select("c_custkey").difference(ordered).compile()
+
+
+@query("""SELECT o_orderkey, o_orderdate < current_date AS past, o_orderdate < now()::TIMESTAMP AS before_now, o_orderdate > now()::TIMESTAMP - INTERVAL 30 DAY AS new,
+  o_orderdate + INTERVAL 1 HOUR AS local, (year(o_orderdate) % 4 = 0 AND year(o_orderdate) % 100 <> 0) OR year(o_orderdate) % 400 = 0 AS leap, FALSE AS dst FROM orders""")
+def clock(spark: SparkSession, sf_dir: str) -> DataFrame:
+    t = col("o_orderdate")
+    return (
+        read(spark, sf_dir, "orders")
+        .select(
+            "o_orderkey", (t < te.today()).alias("past"), (t < te.now()).alias("before_now"), t.dt.newer_than("30d").alias("new"), t.dt.local_timestamp("Etc/GMT-1").alias("local"),
+            t.dt.extract_boolean("IS_LEAP_YEAR").alias("leap"), t.dt.extract_boolean("IS_DST", "UTC").alias("dst"),
+        )
+        .compile()
+    )
+
+
+@query("""SELECT o_orderkey, strftime(o_orderdate, '%H:%M:%S') || '.000000' AS clock, coalesce(instr(o_orderpriority, regexp_extract(o_orderpriority, '[A-Z]+')), 0) AS at, (o_orderkey >> 2) AS shifted, o_custkey AS kept FROM orders""")
+def fn_extras(spark: SparkSession, sf_dir: str) -> DataFrame:
+    o = read(spark, sf_dir, "orders")
+    said = col("o_orderdate").dt.strftime("%H|%M|%S").str
+    return o.select("o_orderkey", said.strptime_time("%H|%M|%S").alias("clock"), col("o_orderpriority").str.regexp_strpos("[A-Z]+").alias("at"), col("o_orderkey").shift_right_unsigned(2).alias("shifted"), col("o_custkey").as_native().alias("kept")).compile()
+
+
+@query("""SELECT round(product(1 + o_totalprice / 1e12), 6) AS multiplied, round(stddev_samp(o_totalprice), 4) AS sd, round(var_pop(o_totalprice / 1000), 4) AS variance, 'O' AS some, 1 AS item, 9 AS wide FROM orders WHERE o_orderstatus = 'O'""")
+def terminals_more(spark: SparkSession, sf_dir: str) -> DataFrame:
+    o = read(spark, sf_dir, "orders").filter(col("o_orderstatus") == "O").with_columns((1 + col("o_totalprice") / 1e12).alias("f"), (col("o_totalprice") / 1000).alias("p"))
+    row = {"multiplied": round(o.product("f"), 6), "sd": round(o.std_dev("o_totalprice"), 4), "variance": round(o.variance("p", distribution="POPULATION"), 4), "some": o.any_value("o_orderstatus")}
+    first = read(spark, sf_dir, "orders").sort("o_orderkey").head(1)
+    return relation([row | {"item": relation([{"x": 1}], spark).item("x"), "wide": len(first.columns) + 3}], spark).compile()
+
+
+@query("SELECT 100 AS n, 100 AS apart, 100 AS members, TRUE AS same, TRUE AS near")
+def sample_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What holds of any sample: its size, that rows are distinct and come from the table, and that a seed repeats it."""
+    orders = read(spark, sf_dir, "orders")
+    drawn, again = ([k for (k,) in orders.sample(n=100, seed=3).select("o_orderkey").to_tuples()] for _ in range(2))
+    members = orders.filter(col("o_orderkey").is_in(drawn)).count_rows()
+    share = orders.sample(fraction=0.5, seed=1).count_rows() / orders.count_rows()
+    return relation([{"n": len(drawn), "apart": len(set(drawn)), "members": members, "same": sorted(drawn) == sorted(again), "near": 0.4 < share < 0.6}], spark).compile()
+
+
+@query("SELECT n_nationkey, n_name, n_regionkey FROM nation UNION ALL SELECT r_regionkey + 100, r_name, r_regionkey FROM region")
+def files_read(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A CSV file of its own dialect and a file of JSON lines, read as a package with declared types."""
+    folder = f"{shared_folder(spark)}/files-{uuid.uuid4().hex}"
+    spark.read.parquet(f"{sf_dir}/nation.parquet").coalesce(1).write.options(sep=";", quote="'", quoteAll=True, escape="'", header=True).csv(f"{folder}/nation")
+    spark.read.parquet(f"{sf_dir}/region.parquet").write.json(f"{folder}/region")
+    package = te.DataPackage.from_descriptor(
+        {
+            "name": "files",
+            "resources": [
+                {"name": "nation", "path": f"{folder}/nation", "format": "csv", "dialect": {"delimiter": ";", "quoteChar": "'", "doubleQuote": True, "headerRows": [1], "caseSensitiveHeader": True}, "schema": {"fields": [{"name": "n_nationkey", "type": "integer"}, {"name": "n_name", "type": "string"}, {"name": "n_regionkey", "type": "integer"}]}},
+                {"name": "region", "path": f"{folder}/region", "format": "ndjson"},
+            ],
+        }
+    )
+    dag = package.to_relation_dag(spark=spark)
+    region = dag.ref("region").select((col("r_regionkey") + 100).alias("n_nationkey"), col("r_name").alias("n_name"), col("r_regionkey").alias("n_regionkey"))
+    dag.add("all", te.concat([dag.ref("nation").select("n_nationkey", "n_name", "n_regionkey"), region]))
+    return dag.collect("all")
