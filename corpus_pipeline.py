@@ -14,7 +14,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.llm import contamination, mixing, quality, registry, similar, simhash, token_files
+from tessera.llm import contamination, mixing, quality, registry, simhash, token_files
 from tessera.llm.shared import quoted, shared_folder
 
 
@@ -24,16 +24,10 @@ def quality_filter(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of near-duplicates the document with the smallest id stays."""
+    """Of each group of near-duplicates the document with the smallest id stays. The README has what this leaves."""
     return simhash.one_of_each(docs)
 
 
-def similar_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Not among the STAGES: in place of near_dedup, of each group of documents at a Jaccard similarity of 0.8 or more
-    (five-word shingles, verified) the one with the smallest id stays. The README has what either leaves."""
-    return similar.one_of_each(docs)
-
-
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that hold a benchmark item go."""
     return contamination.decontaminate(docs, registry.table(spark, sf_dir, "benchmark"))
