@@ -16,7 +16,8 @@ of round 4 back to itself, so the last pass hashes nothing.
 
 What travels is one packed array for each pair of group and range, not rows: a passage that a third of the
 documents share is one hash for each group, however often it occurs. Documents are dealt into groups by hash
-of their id, once; the three passes over the texts read that one shuffle.
+of their id and text, once, so that rows without an id, or with the same one, spread too; the three passes over
+the texts read that one shuffle.
 
 Defined results: null and empty texts have no words; a null id counts as larger than all others; rows with
 equal ids aren't smaller than each other, so neither loses words to the other; an empty table gives no rows.
@@ -196,7 +197,7 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     anchor = window - PERIOD + 1
 
     sid = id_or_last(id_col)
-    source = docs.select(F.pmod(F.xxhash64(sid), F.lit(groups)).cast("int").alias("grp"), sid.alias("sid"), quoted(text_col).alias("text"))
+    source = docs.select(F.pmod(F.xxhash64(sid, quoted(text_col)), F.lit(groups)).cast("int").alias("grp"), sid.alias("sid"), quoted(text_col).alias("text"))
 
     def pack(batch: pa.RecordBatch) -> dict:
         squeeze = zstandard.ZstdCompressor(level=1).compress

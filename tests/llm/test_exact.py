@@ -136,6 +136,27 @@ def test_substrings(spark, window):
     assert {i: (o["n_words"], o["n_removed"], o["kept_sha256"]) for i, o in out.items()} == want
 
 
+def test_substrings_of_rows_with_one_id_or_none(spark):
+    """Two thirds of the rows have no id or the same one: they lose what a smaller id has, and nothing to each other."""
+    rows = [(None if i % 3 == 0 else 50 if i % 3 == 1 else r[0], *r[1:]) for i, r in enumerate(documents())]
+    found = substrings.remove_repeats(frame(spark, rows)).collect()
+    last = 1 << 62
+    starts: dict[tuple, int] = {}
+    for r in rows:
+        w = (r[1] or "").encode().split()
+        for k in range(len(w) - 12):
+            key = tuple(w[k : k + 13])
+            starts[key] = min(starts.get(key, last), last if r[0] is None else r[0])
+    want = []
+    for r in rows:
+        w = (r[1] or "").encode().split()
+        gone = {k + j for k in range(len(w) - 12) if starts[tuple(w[k : k + 13])] < (last if r[0] is None else r[0]) for j in range(13)}
+        kept = b" ".join(x for k, x in enumerate(w) if k not in gone)
+        want.append((str(r[0]), len(w), len(gone), hashlib.sha256(kept).hexdigest()))
+    assert sum(n for i, _, n, _ in want if i in ("None", "50")) > 50
+    assert sorted((str(o["doc_id"]), o["n_words"], o["n_removed"], o["kept_sha256"]) for o in found) == sorted(want)
+
+
 def test_lines(spark):
     rows = documents()
     out = got(lines.drop_shared_lines(frame(spark, rows)))
