@@ -14,6 +14,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tessera.functions.expr import Expr, sort_column
+from tessera.sources.storage import shared_folder
 
 JOINS = {"inner": "inner", "left": "left", "right": "right", "outer": "full", "full": "full", "semi": "left_semi", "anti": "left_anti", "cross": "cross"}
 #: Columns that a pivot makes at most by itself.
@@ -149,10 +150,13 @@ class Relation:
 
     def with_row_index(self, name: str = "index") -> Relation:
         """0-based positions in the current order. Rows are numbered within tasks, then shifted by the counts of the
-        tasks before; the ordered rows are kept meanwhile so that both passes see the same tasks."""
+        tasks before; the ordered rows are checkpointed meanwhile, so that both passes see the same tasks whatever is lost."""
 
         def step(df: DataFrame) -> DataFrame:
-            held = df.withColumn("__row", F.monotonically_increasing_id()).persist()
+            context, folder = df.sparkSession.sparkContext, shared_folder(df.sparkSession)
+            if not context.getCheckpointDir():
+                context.setCheckpointDir(folder)
+            held = df.withColumn("__row", F.monotonically_increasing_id()).checkpoint()
             part = F.shiftright("__row", 33)
             counts = sorted((r["p"], r["n"]) for r in held.groupBy(part.alias("p")).agg(F.count("*").alias("n")).collect())
             starts, total = [], 0
