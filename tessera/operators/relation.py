@@ -64,7 +64,9 @@ class Relation:
 
     def _then(self, step: Callable[[DataFrame], DataFrame], *others: Relation, order: tuple[Column, ...] = ()) -> Relation:
         if not others:
-            return Relation(lambda resolve: step(self.resolve(resolve)), self.refs, order)
+            out = Relation(lambda resolve: step(self.resolve(resolve)), self.refs, order)
+            out._backwards = self._backwards if order else ()
+            return out
         refs = self.refs.union(*[o.refs for o in others])
         return Relation(lambda resolve: step(self.resolve(resolve), *[o.resolve(resolve) for o in others]), refs, order)
 
@@ -122,10 +124,12 @@ class Relation:
         columns = [F.col(k) if isinstance(k, str) else compiled(k) for k in keys]
         backwards = tuple(c.asc_nulls_first() if d else c.desc_nulls_first() for c, d in zip(columns, down, strict=True))
         out = self._then(lambda df: df.orderBy(*order), order=order)
-        out._backwards = backwards
+        out._backwards, out._unsorted = backwards, self
         return out
 
+    #: The reverse of the order, and what a sort sorted: steps that go by the order themselves start there.
     _backwards: tuple[Column, ...] = ()
+    _unsorted: Relation | None = None
 
     def head(self, n: int = 5) -> Relation:
         return self._then(lambda df: df.limit(n), order=self._order)
@@ -235,7 +239,7 @@ class Relation:
 
     def unique(self, *columns: Any, subset: Any = None, keep: str = "any") -> Relation:
         """One row for each combination of the columns (all of them by default), with all columns. keep: any; first or
-        last in the current order, which must come from sort; none drops all rows that have an equal."""
+        last in the current order, which must come from sort and goes by the keys' present values; none drops all rows that have an equal."""
         keys = _names(columns) or (_names([subset]) if subset is not None else None)
         order, backwards = self._order, self._backwards
         if keep not in ("any", "first", "last", "none"):
@@ -253,7 +257,7 @@ class Relation:
             first = Window.partitionBy(*on).orderBy(*(order if keep == "first" else backwards))
             return df.withColumn("__n", F.row_number().over(first)).where("__n = 1").drop("__n")
 
-        return self._then(step)
+        return (self._unsorted or self)._then(step)
 
     def union_distinct(self, other: Any) -> Relation:
         return self._then(lambda a, b: a.unionByName(b).distinct(), relation(other))

@@ -114,6 +114,11 @@ def test_unique(rows):
     assert rows.unique("g").columns == ["id", "g", "v"]
     assert sorted(r["id"] for r in rows.sort("id").unique("g", keep="last").to_dicts()) == [4, 5]
     assert sorted(r["id"] for r in rows.sort("id").unique("g", keep="first").to_dicts()) == [0, 1]
+    assert sorted(r["id"] for r in rows.sort("id").filter(col("id") < 4).unique("g", keep="last").to_dicts()) == [2, 3]
+    assert sorted(r["id"] for r in rows.sort("id").head(3).unique("g", keep="last").to_dicts()) == [1, 2]
+    plan = rows.sort("id").unique("g", keep="last").compile()._jdf.queryExecution().optimizedPlan().toString()
+    assert "Window" in plan and "Sort [" not in plan
+    assert [r["id"] for r in rows.sort("id").filter(col("id") < 4).tail(2).to_dicts()] == [2, 3]
     assert rows.unique("g", keep="none").count_rows() == 0
     with pytest.raises(ValueError):
         rows.unique("g", keep="first")
