@@ -19,6 +19,11 @@ documents share is one hash for each group, however often it occurs. Documents a
 of their id and text, once, so that rows without an id, or with the same one, spread too; the three passes over
 the texts read that one shuffle.
 
+Pairs of group and range grow with the square of the partitions. Beyond `direct` ranges packets therefore go by relays:
+a relay serves a cluster of groups and a block of ranges, each about the square root of all, so a group sends one bundle
+for each block and a range gets one from each cluster, and replies go back the same way. That moves what is
+sent twice, and bundles grow with the partitions times their square root only.
+
 Defined results: null and empty texts have no words; a null id counts as larger than all others; rows with
 equal ids aren't smaller than each other, so neither loses words to the other; an empty table gives no rows.
 """
@@ -26,6 +31,7 @@ equal ids aren't smaller than each other, so neither loses words to the other; a
 from __future__ import annotations
 
 import hashlib
+import math
 from collections.abc import Callable, Iterator
 from itertools import chain
 
@@ -171,6 +177,39 @@ def _table(rows: list[tuple[int, int, bool, bytes]]) -> pa.Table:
     return pa.table([pa.array(c, f.type) for c, f in zip(columns, PACKET, strict=True)], schema=PACKET)
 
 
+#: What stands before the packets of a bundle, for each.
+HEAD = np.dtype([("part", "<i4"), ("grp", "<i4"), ("note", "u1"), ("size", "<i8")])
+
+
+def _bundled(table: pa.Table, part: np.ndarray, grp: np.ndarray) -> pa.Table:
+    """One row for each (part, grp) that packets of the table go to next, with all of these and their own numbers."""
+    if not table.num_rows:
+        return table
+    order = np.lexsort((grp, part))
+    part, grp = part[order], grp[order]
+    packets = table["packet"].to_pylist()
+    packets = [packets[k] for k in order.tolist()]
+    heads = np.empty(len(packets), HEAD)
+    for name in ("part", "grp", "note"):
+        heads[name] = table[name].to_numpy()[order]
+    heads["size"] = [len(p) for p in packets]
+    starts = np.flatnonzero(np.r_[True, (part[1:] != part[:-1]) | (grp[1:] != grp[:-1])]).tolist()
+    rows = [(int(part[a]), int(grp[a]), False, (b - a).to_bytes(8, "little") + heads[a:b].tobytes() + b"".join(packets[a:b])) for a, b in zip(starts, [*starts[1:], len(packets)], strict=True)]
+    return _table(rows)
+
+
+def _unbundled(table: pa.Table) -> pa.Table:
+    """The packets of all bundles, with their own numbers."""
+    rows = []
+    for raw in table["packet"].to_pylist():
+        n = int.from_bytes(raw[:8], "little")
+        heads = np.frombuffer(raw, HEAD, n, 8)
+        ends = (8 + HEAD.itemsize * n + np.cumsum(heads["size"])).tolist()
+        begins = [8 + HEAD.itemsize * n, *ends[:-1]]
+        rows += [(part, grp, bool(note), raw[a:b]) for (part, grp, note, _), a, b in zip(heads.tolist(), begins, ends, strict=True)]
+    return _table(rows)
+
+
 def _replies(asked: pa.Table, some: np.ndarray, packed: bytes, size: int, counts: list[int]) -> pa.Table:
     """To each asking packet those of its items that are marked; packed has them all in order, `size` bytes each."""
     ends = np.cumsum(np.r_[0, some])[np.cumsum([0, *counts])] * size
@@ -187,14 +226,34 @@ DONE = pa.schema([("doc_id", pa.int64()), ("n_words", pa.int64()), ("n_removed",
 
 
 
-def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", window: int = 13, with_text: bool = True) -> DataFrame:
-    """One row for each document: doc_id, n_words, n_removed, kept_text (or null), kept_sha256."""
+def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", window: int = 13, with_text: bool = True, direct: int = 1024) -> DataFrame:
+    """One row for each document: doc_id, n_words, n_removed, kept_text (or null), kept_sha256. direct: how many ranges
+    there may be for packets to go straight to them; it changes the way, not the result."""
     if window < PERIOD:
         raise ValueError(f"a window has at least {PERIOD} words")
     spark = docs.sparkSession
     ranges = partitions(spark)
     groups = GROUPS * ranges
     anchor = window - PERIOD + 1
+    relayed = ranges > direct
+    block, cluster = math.isqrt(ranges - 1) + 1, math.isqrt(groups - 1) + 1
+
+    def send(packets: pa.Table) -> pa.Table:
+        return _bundled(packets, packets["part"].to_numpy() // block, packets["grp"].to_numpy() // cluster) if relayed else packets
+
+    def opened(packets: pa.Table) -> pa.Table:
+        return _unbundled(packets) if relayed else packets
+
+    def to_ranges(table: pa.Table) -> pa.Table:
+        packets = _unbundled(table)
+        return _bundled(packets, packets["part"].to_numpy(), packets["grp"].to_numpy() // cluster)
+
+    def to_groups(table: pa.Table) -> pa.Table:
+        packets = _unbundled(table)
+        return _bundled(packets, packets["part"].to_numpy() // block, packets["grp"].to_numpy())
+
+    def by_relay(packets: DataFrame, onward: Callable[[pa.Table], pa.Table]) -> DataFrame:
+        return packets.groupBy("part", "grp").applyInArrow(onward, PACKET_DDL) if relayed else packets
 
     sid = id_or_last(id_col)
     source = docs.select(F.pmod(F.xxhash64(sid, quoted(text_col)), F.lit(groups)).cast("int").alias("grp"), sid.alias("sid"), quoted(text_col).alias("text"))
@@ -212,9 +271,10 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
             each.append(np.unique(words.hashes(words.anchors(anchor), anchor)))
         distinct = np.unique(np.concatenate(each))
         values = _short(distinct)
-        return _packets(_ranges(distinct, ranges), ranges, lambda a, b: _pack48(values[a:b]), table["grp"][0].as_py())
+        return send(_packets(_ranges(distinct, ranges), ranges, lambda a, b: _pack48(values[a:b]), table["grp"][0].as_py()))
 
     def answer(table: pa.Table) -> pa.Table:
+        table = opened(table)
         packets = table["packet"].to_pylist()
         every = _unpack48(b"".join(packets))
         order = np.argsort(every, kind="stable")
@@ -222,7 +282,7 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
         sizes = np.diff(np.r_[begins, len(every)])
         shared = np.empty(len(every), bool)
         shared[order] = np.repeat(sizes > 1, sizes)
-        return _replies(table, shared, _pack48(every[shared]), 6, [len(p) // 6 for p in packets])
+        return send(_replies(table, shared, _pack48(every[shared]), 6, [len(p) // 6 for p in packets]))
 
     def candidates(raws: list[bytes], answers: pa.Table) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Windows around an anchor that another text has: their text's number, their start in it, their hash."""
@@ -256,7 +316,7 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
         if not left.num_rows:
             return _table([])
         docs = _read(left)
-        text, place, wide = candidates([t for _, t in docs], right)
+        text, place, wide = candidates([t for _, t in docs], opened(right))
         if not len(wide):
             return _table([])
         doc = np.array([sid_ for sid_, _ in docs], "int64")[text]
@@ -272,14 +332,15 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
         first = order[new]
         sent["high"], sent["low"], sent["doc"], sent["number"] = high[first], low[first], doc[first], first
         note = _note(text, place, beaten, np.stack([order[follows], leader[follows]], axis=1))
-        return _packets(_ranges(sent["high"], ranges), ranges, lambda a, b: sent[a:b].tobytes(), left["grp"][0].as_py(), note)
+        return send(_packets(_ranges(sent["high"], ranges), ranges, lambda a, b: sent[a:b].tobytes(), left["grp"][0].as_py(), note))
 
     def answer_windows(table: pa.Table) -> pa.Table:
+        table = opened(table)
         is_note = table["note"].to_numpy()
         notes = table.filter(pa.array(is_note))
         own = table.filter(pa.array(~is_note))
         if not own.num_rows:
-            return notes
+            return send(notes)
         packets = own["packet"].to_pylist()
         every = np.frombuffer(b"".join(packets), WINDOW)
         order, new = _by_hash(every["high"], every["low"])
@@ -287,12 +348,12 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
         beaten = np.empty(len(every), bool)
         beaten[order] = least < every["doc"][order]
         answered = _replies(own, beaten, every["number"][beaten].tobytes(), 4, [len(p) // WINDOW.itemsize for p in packets])
-        return pa.concat_tables([answered, notes])
+        return send(pa.concat_tables([answered, notes]))
 
     def finish(key: tuple, left: pa.Table, right: pa.Table) -> pa.Table:
         if not left.num_rows:
             return DONE.empty_table()
-        docs = _read(left)
+        docs, right = _read(left), opened(right)
         cuts, place = np.zeros(len(docs) + 1, "int64"), np.empty(0, "int64")
         beaten = np.empty(0, bool)
         replies = list(zip(right["note"].to_pylist(), right["packet"].to_pylist(), strict=True))
@@ -319,7 +380,8 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
         return pa.table([pa.array(c, f.type) for c, f in zip(out, DONE, strict=True)], schema=DONE)
 
     by_group = dealt.groupBy("grp")
-    known = by_group.applyInArrow(ask, PACKET_DDL).groupBy("part").applyInArrow(answer, PACKET_DDL)
-    asked = by_group.cogroup(known.groupBy("grp")).applyInArrow(ask_windows, PACKET_DDL)
-    beaten = asked.groupBy("part").applyInArrow(answer_windows, PACKET_DDL)
+    asked_anchors = by_relay(by_group.applyInArrow(ask, PACKET_DDL), to_ranges)
+    known = by_relay(asked_anchors.groupBy("part").applyInArrow(answer, PACKET_DDL), to_groups)
+    asked = by_relay(by_group.cogroup(known.groupBy("grp")).applyInArrow(ask_windows, PACKET_DDL), to_ranges)
+    beaten = by_relay(asked.groupBy("part").applyInArrow(answer_windows, PACKET_DDL), to_groups)
     return by_group.cogroup(beaten.groupBy("grp")).applyInArrow(finish, "doc_id long, n_words long, n_removed long, kept_text string, kept_sha256 string")
