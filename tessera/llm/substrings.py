@@ -177,8 +177,13 @@ def _table(rows: list[tuple[int, int, bool, bytes]]) -> pa.Table:
     return pa.table([pa.array(c, f.type) for c, f in zip(columns, PACKET, strict=True)], schema=PACKET)
 
 
-#: What stands before the packets of a bundle, for each.
-HEAD = np.dtype([("part", "<i4"), ("grp", "<i4"), ("note", "u1"), ("size", "<i8")])
+#: Ranges up to which packets go straight: with 100 partitions a GB a packet then still holds some 30 hashes, and relays
+#: would move more than they save.
+DIRECT = 8192
+#: What stands in a bundle: how many packets and their smallest numbers, then for each its numbers from there and its size.
+BUNDLE = np.dtype([("count", "<i8"), ("part", "<i4"), ("grp", "<i4")])
+HEAD = np.dtype([("part", "<u2"), ("grp", "<u2"), ("size", "<u4")])
+NOTE = 1 << 31
 
 
 def _bundled(table: pa.Table, part: np.ndarray, grp: np.ndarray) -> pa.Table:
@@ -189,12 +194,16 @@ def _bundled(table: pa.Table, part: np.ndarray, grp: np.ndarray) -> pa.Table:
     part, grp = part[order], grp[order]
     packets = table["packet"].to_pylist()
     packets = [packets[k] for k in order.tolist()]
-    heads = np.empty(len(packets), HEAD)
-    for name in ("part", "grp", "note"):
-        heads[name] = table[name].to_numpy()[order]
-    heads["size"] = [len(p) for p in packets]
+    numbers = [table[name].to_numpy()[order] for name in ("part", "grp")]
+    sizes = np.array([len(p) for p in packets], "<u4") | table["note"].to_numpy()[order] * np.uint32(NOTE)
     starts = np.flatnonzero(np.r_[True, (part[1:] != part[:-1]) | (grp[1:] != grp[:-1])]).tolist()
-    rows = [(int(part[a]), int(grp[a]), False, (b - a).to_bytes(8, "little") + heads[a:b].tobytes() + b"".join(packets[a:b])) for a, b in zip(starts, [*starts[1:], len(packets)], strict=True)]
+    rows = []
+    for a, b in zip(starts, [*starts[1:], len(packets)], strict=True):
+        least = [int(n[a:b].min()) for n in numbers]
+        heads = np.empty(b - a, HEAD)
+        heads["part"], heads["grp"], heads["size"] = *(n[a:b] - low for n, low in zip(numbers, least, strict=True)), sizes[a:b]
+        raw = np.array([(b - a, *least)], BUNDLE).tobytes() + heads.tobytes() + b"".join(packets[a:b])
+        rows.append((int(part[a]), int(grp[a]), False, raw))
     return _table(rows)
 
 
@@ -202,11 +211,12 @@ def _unbundled(table: pa.Table) -> pa.Table:
     """The packets of all bundles, with their own numbers."""
     rows = []
     for raw in table["packet"].to_pylist():
-        n = int.from_bytes(raw[:8], "little")
-        heads = np.frombuffer(raw, HEAD, n, 8)
-        ends = (8 + HEAD.itemsize * n + np.cumsum(heads["size"])).tolist()
-        begins = [8 + HEAD.itemsize * n, *ends[:-1]]
-        rows += [(part, grp, bool(note), raw[a:b]) for (part, grp, note, _), a, b in zip(heads.tolist(), begins, ends, strict=True)]
+        n, part, grp = np.frombuffer(raw, BUNDLE, 1)[0].tolist()
+        heads = np.frombuffer(raw, HEAD, n, BUNDLE.itemsize)
+        sizes = heads["size"].astype("int64")
+        bounds = (BUNDLE.itemsize + HEAD.itemsize * n + np.cumsum(np.r_[0, sizes & NOTE - 1])).tolist()
+        own = zip((heads["part"] + np.int64(part)).tolist(), (heads["grp"] + np.int64(grp)).tolist(), (sizes >= NOTE).tolist(), strict=True)
+        rows += [(*numbers, raw[a:b]) for numbers, a, b in zip(own, bounds, bounds[1:], strict=False)]
     return _table(rows)
 
 
@@ -226,7 +236,7 @@ DONE = pa.schema([("doc_id", pa.int64()), ("n_words", pa.int64()), ("n_removed",
 
 
 
-def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", window: int = 13, with_text: bool = True, direct: int = 1024) -> DataFrame:
+def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", window: int = 13, with_text: bool = True, direct: int = DIRECT) -> DataFrame:
     """One row for each document: doc_id, n_words, n_removed, kept_text (or null), kept_sha256. direct: how many ranges
     there may be for packets to go straight to them; it changes the way, not the result."""
     if window < PERIOD:
