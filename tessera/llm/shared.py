@@ -70,7 +70,8 @@ def range_bucket(column: Column, bounds: np.ndarray, tie: Column | None = None)
     ranges that the value fills."""
     if not len(bounds):
         return F.lit(0)
-    held = F.array(*[F.lit(int(b)) for b in bounds])
+    # One literal, which the optimizer makes an array once, however many bounds there are.
+    held = F.split(F.lit(",".join(map(str, bounds.tolist()))), ",").cast("array<long>")
     steps = F.array(*[F.lit(1 << k) for k in reversed(range(len(bounds).bit_length()))])
 
     def count(below: Callable[[Column], Column]) -> Column:

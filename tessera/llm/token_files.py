@@ -319,7 +319,7 @@ def read_tokens(files: DataFrame, folder: str) -> DataFrame:
     rows = files.orderBy("file").collect()  # one for each range
     starts = np.r_[0, np.cumsum([r["n_ids"] for r in rows])].tolist()
     spark = files.sparkSession
-    listed = spark.createDataFrame([(r["file"], r["path"], s) for r, s in zip(rows, starts, strict=False)], "file int, path string, base long")
+    listed = spark.createDataFrame([(k, r["path"], s) for k, (r, s) in enumerate(zip(rows, starts, strict=False))], "at int, path string, base long")
     schema = pa.schema([("doc_id", pa.int64()), ("start", pa.int64()), ("n_tokens", pa.int64()), ("ids_crc32", pa.int64())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -331,7 +331,7 @@ def read_tokens(files: DataFrame, folder: str) -> DataFrame:
                 ids = [None if x == NULL_ID else x for x in held.docs["doc_id"].to_pylist()]
                 yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array([base + a for a, _ in places], pa.int64()), held.docs["n_tokens"].combine_chunks(), pa.array(sums, pa.int64())], schema=schema)
 
-    spread = listed.repartition(min(max(len(rows), 1), partitions(spark)), "file")
+    spread = listed.repartitionById(min(max(len(rows), 1), partitions(spark)), "at")
     return spread.mapInArrow(run, "doc_id long, start long, n_tokens long, ids_crc32 long")
 
 
