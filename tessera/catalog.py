@@ -43,6 +43,12 @@ def r6(e: Expr) -> Expr:
     return e.round(6)
 
 
+def r6_signed(e: Expr) -> Expr:
+    """r6 for floats whose zeros have a sign, which DuckDB's round keeps and Spark's drops."""
+    out = r6(e)
+    return when((out == 0) & e.cast("string").starts_with("-")).then(-out).otherwise(out)
+
+
 # ---- bases: a relation and the SQL of the same rows
 
 
@@ -166,7 +172,7 @@ family("fn_arithmetic", orders_base, ORDERS, [
     ("subtracted", lambda: col("n") - col("m"), "n - m"),
     ("rsubtracted", lambda: 10 - col("n"), "10 - n"),
     ("multiplied", lambda: col("n") * col("m"), "n * m"),
-    ("divided", lambda: r6(col("n") / col("m")), "CASE WHEN m = 0 THEN n * 'inf'::DOUBLE ELSE round(n::DOUBLE / m, 6) END"),
+    ("divided", lambda: r6_signed(col("n") / col("m")), "CASE WHEN m = 0 THEN n * 'inf'::DOUBLE ELSE round(n::DOUBLE / m, 6) END"),
     ("rdivided", lambda: r6(1 / (col("x") + 1)), "round(1 / (x + 1), 6)"),
     ("modulo", lambda: col("n") % (col("m") * 2 + 1), "((n % (m * 2 + 1)) + (m * 2 + 1)) % (m * 2 + 1)"),
     ("rmodulo", lambda: 17 % (col("m") * 2 + 1), "((17 % (m * 2 + 1)) + (m * 2 + 1)) % (m * 2 + 1)"),
